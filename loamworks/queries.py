@@ -1,0 +1,16 @@
+"""Registered queries of the core operators and their SQL counterparts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loamworks.session import table
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+
+
+QUERIES: dict = {}
+ORACLE: dict = {}
