@@ -5,7 +5,8 @@ Two sets with Jaccard similarity of at least ``t`` differ in at most ``h = k * (
 the segments are given allowances ``v`` of 0, 1 or 2 that add up to more than ``h``, then some segment with
 ``v > 0`` differs in fewer than ``v`` elements: it is equal (``v = 1``) or one element apart (``v = 2``).
 So it suffices to look up, for each set, its segments with ``v > 0``, and for ``v = 2`` also each segment
-with one element left out.
+with one element left out. With ``r - 1`` more segments of allowance 1, at least ``r`` of them must be equal,
+so pairs with fewer equal segments (``shared``) fall away before any set is compared.
 
 Sets are grouped into size bands. A set is indexed under its own band and looks for partners of at most its
 own size in that band and in the one below. Bands of small sets use few segments of allowance 2, bands of
@@ -27,8 +28,8 @@ INDEX, PROBE, LESS = 1, 2, 4
 class Bands:
     """Size bands of a threshold with the number of segments of each."""
 
-    def __init__(self, threshold: float, slack: float = 0.2, small: int = 48, largest: int = 2**31):
-        self.t, self.k = threshold, (1 - threshold) / (1 + threshold)
+    def __init__(self, threshold: float, slack: float = 0.2, small: int = 48, shared: int = 4, largest: int = 2**31):
+        self.t, self.k, self.shared = threshold, (1 - threshold) / (1 + threshold), shared
         self.low, self.high = [], []
         low = 1
         while low <= largest:
@@ -40,7 +41,7 @@ class Bands:
         #: allowance of a segment and number of segments, by band
         self.allow = np.where(self.high_array <= small, 2, 1)
         need = np.array([self.differ(self._div(r), r) + 1 for r in self.high], np.int64)
-        self.segments = np.ceil(np.where(self.allow == 2, (need + 1) // 2, need) * np.where(self.allow == 2, 1.0, 1 + slack)).astype(np.int64)
+        self.segments = np.ceil(np.where(self.allow == 2, (need + 1) // 2, need + shared - 1) * np.where(self.allow == 2, 1.0, 1 + slack)).astype(np.int64)
 
     def _div(self, size: int) -> int:
         """The largest size that a partner of a set of this size can have."""
@@ -107,7 +108,7 @@ def _of_band(sets, bounds, sizes, own, at, bands, cost_of, index):
     cost = cost.reshape(len(own), m) / np.maximum(count.reshape(len(own), m), 1) ** 2
     partner = np.minimum(bands.high_array[at], n)
     need = np.floor(bands.k * (n + partner) + 1e-9).astype(np.int64) + 1
-    take = -(-need // allow)
+    take = -(-need // allow) if allow == 2 else need + bands.shared - 1
     rank = np.empty_like(cost, dtype=np.int64)
     np.put_along_axis(rank, np.argsort(cost, axis=1, kind="stable"), np.arange(m)[None, :], axis=1)
     probe = (rank < take[:, None]).ravel()
@@ -134,9 +135,11 @@ def _sum(where: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 def matches(
-    sig: np.ndarray, owner: np.ndarray, flags: np.ndarray, sizes: np.ndarray, t: float, block: int = 4_000_000
-) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct candidate pairs (larger or equal set, other set) among entries that share a signature.
+    sig: np.ndarray, owner: np.ndarray, flags: np.ndarray, sizes: np.ndarray, bands: Bands, block: int = 4_000_000
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (larger or equal set, other set) and the number of segments they share.
+
+    A pair is a candidate once its numbers from all parts of the signatures add up to ``bands.shared``.
 
     ``sizes`` by owner. Pairs whose sizes rule them out are left out. Works through the groups in blocks.
     """
@@ -162,9 +165,13 @@ def matches(
         a, b = owner[e], owner[other]
         ok = (a != b) & ((flags[other] & INDEX) > 0) & ((flags[e] & flags[other] & LESS) == 0)
         ok &= (sizes[b] < sizes[a]) | ((sizes[b] == sizes[a]) & (a > b))
-        ok &= sizes[b] >= t * sizes[a] - 1e-9
+        ok &= sizes[b] >= bands.t * sizes[a] - 1e-9
         if ok.any():
-            out.append(np.unique(a[ok].astype(np.uint64) << np.uint64(32) | b[ok].astype(np.uint64)))
+            out.append(np.unique(a[ok].astype(np.uint64) << np.uint64(32) | b[ok].astype(np.uint64), return_counts=True))
         i = j
-    pairs = np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
-    return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    pairs, at = np.unique(np.concatenate([x for x, _ in out]), return_inverse=True)
+    counts = np.bincount(at, np.concatenate([n for _, n in out])).astype(np.int64)
+    a, b = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return a, b, np.where(bands.allow[bands.of(sizes[b])] == 2, bands.shared, counts)
