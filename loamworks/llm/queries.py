@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamworks.llm import mixing, packing, representatives, tokens
+from loamworks.llm import leaks, mixing, packing, representatives, tokens
 from loamworks.llm import near_duplicates as near
 from loamworks.session import materialize, table
 
@@ -18,6 +18,14 @@ def _t(*names: str):
     return read
 
 
+def p1_found(spark, sf_dir):
+    return leaks.leaked_items(leaks.find_leaks(*_t("documents", "eval_items")(spark, sf_dir)))
+
+
+def p1_removal_spans(spark, sf_dir):
+    return leaks.removal_spans(leaks.find_leaks(*_t("documents", "eval_items")(spark, sf_dir)))
+
+
 def p2_token_budget(spark, sf_dir):
     docs, records, catalog = _t("documents", "doc_records", "source_catalog")(spark, sf_dir)
     return tokens.token_budget(tokens.document_tokens(docs, records, catalog))
@@ -69,7 +77,7 @@ def p8_mix_report(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p2_token_budget, p2_document_tokens, p4_found, p4_survivors, p5_found, p5_groups,
+        p1_found, p1_removal_spans, p2_token_budget, p2_document_tokens, p4_found, p4_survivors, p5_found, p5_groups,
         p7_packs, p7_pack_report, p8_mix, p8_mix_report,
     )
 }
