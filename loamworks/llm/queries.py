@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamworks.llm import leaks, mixing, packing, representatives, tokens
+from loamworks.llm import leaks, mixing, packing, quality, representatives, tokens
 from loamworks.llm import near_duplicates as near
 from loamworks.session import materialize, table
 
@@ -57,6 +57,15 @@ def _counted(spark, sf_dir):
     return materialize(tokens.with_token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"]))
 
 
+def p6_text_statistics(spark, sf_dir):
+    docs, ratings = _t("documents", "doc_ratings")(spark, sf_dir)
+    return quality.text_statistics(docs, quality.fit_line_model(docs, ratings))
+
+
+def p6_found(spark, sf_dir):
+    return quality.not_prose(p6_text_statistics(spark, sf_dir))
+
+
 def p7_packs(spark, sf_dir):
     return packing.pack(_counted(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 
@@ -77,7 +86,7 @@ def p8_mix_report(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_removal_spans, p2_token_budget, p2_document_tokens, p4_found, p4_survivors, p5_found, p5_groups,
+        p1_found, p1_removal_spans, p2_token_budget, p2_document_tokens, p4_found, p4_survivors, p5_found, p5_groups, p6_text_statistics, p6_found,
         p7_packs, p7_pack_report, p8_mix, p8_mix_report,
     )
 }
