@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamworks.llm import leaks, mixing, packing, quality, representatives, tokens
+from loamworks.llm import leaks, mixing, packing, quality, reading, representatives, tokens
 from loamworks.llm import near_duplicates as near
 from loamworks.session import materialize, table
 
@@ -83,10 +83,19 @@ def p8_mix_report(spark, sf_dir):
     return mixing.mix_report(_counted(spark, sf_dir), table(spark, sf_dir, "mix_plans"))
 
 
+def p9_reading_levels(spark, sf_dir):
+    docs, ratings = _t("documents", "doc_ratings")(spark, sf_dir)
+    return reading.reading_levels(docs, reading.fit_reading_model(docs, ratings), quality.fit_line_model(docs, ratings))
+
+
+def p9_found(spark, sf_dir):
+    return reading.prose_levels(p9_reading_levels(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_removal_spans, p2_token_budget, p2_document_tokens, p4_found, p4_survivors, p5_found, p5_groups, p6_text_statistics, p6_found,
-        p7_packs, p7_pack_report, p8_mix, p8_mix_report,
+        p7_packs, p7_pack_report, p8_mix, p8_mix_report, p9_reading_levels, p9_found,
     )
 }
