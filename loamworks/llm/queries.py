@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamworks.llm import leaks, mixing, packing, quality, reading, representatives, tokens
+from loamworks.llm import leaks, mixing, packing, personal, quality, reading, representatives, tokens
 from loamworks.llm import near_duplicates as near
 from loamworks.session import materialize, table
 
@@ -36,6 +36,19 @@ def p2_document_tokens(spark, sf_dir):
     return tokens.document_tokens(docs, records, catalog)
 
 
+def _personal(spark, sf_dir):
+    docs, lexicon = _t("documents", "name_lexicon")(spark, sf_dir)
+    return docs, personal.fit_personal_model(docs, lexicon)
+
+
+def p3_found(spark, sf_dir):
+    return personal.find_personal_data(*_personal(spark, sf_dir)).select("doc_id", "kind", "value").distinct()
+
+
+def p3_redacted(spark, sf_dir):
+    return personal.redact(*_personal(spark, sf_dir))
+
+
 def p4_found(spark, sf_dir):
     return representatives.dominant_records(*_t("doc_records", "source_catalog")(spark, sf_dir))
 
@@ -95,7 +108,7 @@ def p9_found(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_removal_spans, p2_token_budget, p2_document_tokens, p4_found, p4_survivors, p5_found, p5_groups, p6_text_statistics, p6_found,
+        p1_found, p1_removal_spans, p2_token_budget, p2_document_tokens, p3_found, p3_redacted, p4_found, p4_survivors, p5_found, p5_groups, p6_text_statistics, p6_found,
         p7_packs, p7_pack_report, p8_mix, p8_mix_report, p9_reading_levels, p9_found,
     )
 }
