@@ -334,7 +334,7 @@ def _places(low: str, words: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def _names(text: str, given: Letters, family: Letters) -> list[tuple[int, int, list[float], int | None]]:
+def _names(text: str, given: Letters, family: Letters, common: frozenset) -> list[tuple[int, int, list[float], int | None]]:
     out = []
     low = text.lower()
     if len(low) != len(text):  # a character whose lower case is several
@@ -365,7 +365,7 @@ def _names(text: str, given: Letters, family: Letters) -> list[tuple[int, int, l
             upper = float(first[:1].isupper()), float(text[start].isupper())
             lower = float(whole.lower() == whole and text[max(0, s - 40) : e + 40].lower() == text[max(0, s - 40) : e + 40])
             x = [score, last, like, initial, turned, title, *upper, float(whole.upper() == whole), lower, float(bool(middle)), float(len(parts)), float("\n" in whole),
-                 float(text[e : e + 1] in " .,;|\t\n" or e == len(text)), float(len(parts[0])), float(len(first))]
+                 float(text[e : e + 1] in " .,;|\t\n" or e == len(text)), float(len(parts[0])), float(len(first)), float(parts[0] in common), float(first.lower() in common)]
             out.append((s, e, x, None))
     return out
 
@@ -377,7 +377,9 @@ def _names(text: str, given: Letters, family: Letters) -> list[tuple[int, int, l
 class PersonalModel:
     given: Letters
     family: Letters
+    common: frozenset
     trees: dict[str, Boosted | None]
+    positives: dict[str, int]
     threshold: float
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
@@ -386,7 +388,7 @@ class PersonalModel:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            for kind, *c in propose(text, self.given, self.family):
+            for kind, *c in propose(text, self.given, self.family, self.common):
                 found[kind].append((i, *c))
         chosen: list[list[tuple[float, int, int, str]]] = [[] for _ in texts]
         for kind, rows in found.items():
@@ -397,6 +399,10 @@ class PersonalModel:
                 p = np.array([float(r[4] == 1) for r in rows])
             else:
                 p = trees.probability(np.array([r[3] for r in rows], float))
+                # where few examples taught the trees, a clear cue counts beside them
+                told = self.positives[kind] / (self.positives[kind] + 50)
+                clear = np.array([np.nan if r[4] is None else r[4] for r in rows], float)
+                p = np.where(np.isnan(clear), p, told * p + (1 - told) * clear)
             for (i, s, e, *_), q in zip(rows, p.tolist(), strict=True):
                 if q >= self.threshold:
                     chosen[i].append((q + 2 * (kind == "email"), s, e, kind))
@@ -414,7 +420,7 @@ def _apart(spans: list[tuple[float, int, int, str]]) -> list[tuple[int, int, str
     return sorted(kept)
 
 
-def propose(text: str, given: Letters, family: Letters):
+def propose(text: str, given: Letters, family: Letters, common: frozenset):
     """kind, start, end, features and, where clear, the label of each candidate."""
     for s, e, x, clear in _emails(text):
         yield "email", s, e, x, clear
@@ -423,7 +429,7 @@ def propose(text: str, given: Letters, family: Letters):
         yield "id_number", s, e, x, person
     for s, e, x, clear in _addresses(text):
         yield "address", s, e, x, clear
-    for s, e, x, clear in _names(text, given, family):
+    for s, e, x, clear in _names(text, given, family, common):
         yield "name", s, e, x, clear
 
 
@@ -442,18 +448,20 @@ def train(texts: list[str], lexicon: list[tuple[str, str]], config: TrainConfig
     elsewhere = common + 8 * sorted(roles["place"] | roles["brand"])
     given = Letters.learn(sorted(roles["given"]), elsewhere + sorted(roles["family"]))
     family = Letters.learn(sorted(roles["family"]), elsewhere + sorted(roles["given"]))
+    usual = frozenset(w for w in common if all_[w] >= 5)
     rows: dict[str, list] = {k: [] for k in KINDS}
     for t in texts:
-        for kind, s, e, x, clear in propose(t, given, family):
+        for kind, s, e, x, clear in propose(t, given, family, usual):
             if kind == "name":
                 clear = _clear_name(t[s:e], x, roles)
             if clear is not None:
                 rows[kind].append((x, clear))
-    trees = {}
+    trees, positives = {}, {}
     for kind, labelled in rows.items():
         y = np.array([c for _, c in labelled])
+        positives[kind] = int((y == 1).sum())
         trees[kind] = fit_boosted(np.array([x for x, _ in labelled], float), y) if min((y == 0).sum(), (y == 1).sum()) >= 10 else None
-    return PersonalModel(given, family, trees, config.threshold)
+    return PersonalModel(given, family, usual, trees, positives, config.threshold)
 
 
 def _clear_name(text: str, x: list[float], roles: dict[str, set[str]]) -> int | None:
@@ -463,6 +471,8 @@ def _clear_name(text: str, x: list[float], roles: dict[str, set[str]]) -> int |
     families = [w for w in words if w in roles["family"]]
     givens = [w for w in words if w in roles["given"]]
     proper = x[6] and x[7] or x[9]
+    if x[-1] or x[-2]:
+        return 0
     if families and (givens or initial) and proper:
         return 1
     if title and families and proper:
