@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,3 +42,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """All rows if there are at most ``n``, else about ``n``, chosen by a hash of ``key``.
+
+    A row is kept or not by itself, so no task sends more than its part, and the choice does not depend on partitions.
+    """
+    total = df.count()
+    if total <= n:
+        return df
+    return df.where(F.pmod(F.xxhash64(key), F.lit(2**40)) < int(2**40 * n / total))
