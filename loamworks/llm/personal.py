@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamworks.llm.boosting import Boosted, fit_boosted
+from loamworks.session import bounded_sample
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
@@ -485,8 +486,8 @@ def _clear_name(text: str, x: list[float], roles: dict[str, set[str]]) -> int |
 
 
 def fit_personal_model(documents: DataFrame, lexicon: DataFrame, config: TrainConfig = TrainConfig()) -> PersonalModel:
-    """Train on at most ``config.documents`` documents, in the order of a hash of their id. The name table is a fixed table."""
-    rows = documents.where("length(trim(text)) > 0").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.documents).toPandas()
+    """Train on about ``config.documents`` documents at most, chosen by a hash of their id. The name table is a fixed table."""
+    rows = bounded_sample(documents.where("length(trim(text)) > 0").select("doc_id", "text"), "doc_id", config.documents).toPandas().sort_values("doc_id")
     terms = [(r["term"], r["role"]) for r in lexicon.select("term", "role").distinct().collect()]
     return train(rows.text.tolist(), terms, config)
 
