@@ -33,3 +33,19 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def follow_parents(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """``node, root`` for each row of ``node, parent``: where the chain of parents ends. Chains must not turn in circles.
+
+    Each round doubles the distance covered (pointer jumping); nodes that have arrived are set aside.
+    """
+    now = materialize(links.select("node", F.col("parent").alias("root")))
+    for _ in range(rounds):
+        ahead = now.select(F.col("node").alias("root"), F.col("root").alias("_next"))
+        new = materialize(now.join(ahead, "root", "left").select("node", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")))
+        moved = new.where("_moved").limit(1).count()
+        now = new.drop("_moved")
+        if not moved:
+            return now
+    raise RuntimeError(f"chains did not end in {rounds} rounds")
