@@ -1,0 +1,115 @@
+"""Pipelines from configuration: named blocks that each turn one data frame into another."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loamworks.operators import annotate, budget, dedup, masking, minhash, quality, slices, urls
+
+TYPES = ("reader", "filter", "mapper", "dedup", "decontam", "writer", "stats")
+Block = Callable[..., DataFrame]
+
+
+class Registry:
+    """Blocks by type and name."""
+
+    def __init__(self) -> None:
+        self.blocks: dict[tuple[str, str], Block] = {}
+
+    def register(self, kind: str, name: str, block: Block) -> None:
+        if kind not in TYPES:
+            raise ValueError(f"unknown block type: {kind}")
+        self.blocks[kind, name] = block
+
+    def get(self, kind: str, name: str) -> Block:
+        if kind not in TYPES:
+            raise ValueError(f"unknown block type: {kind}")
+        if (kind, name) not in self.blocks:
+            raise ValueError(f"unknown {kind}: {name}")
+        return self.blocks[kind, name]
+
+
+def _read(fmt: str) -> Block:
+    def block(spark: SparkSession, **params) -> DataFrame:
+        from loamworks.sources.tables import read_documents
+
+        return read_documents(spark, fmt=fmt, **params)
+
+    return block
+
+
+def _warc(spark: SparkSession, **params) -> DataFrame:
+    from loamworks.sources.warc import read_warc
+
+    return read_warc(spark, **params)
+
+
+def _write(df: DataFrame, **params) -> DataFrame:
+    from loamworks.sources.tables import write_shards
+
+    write_shards(df, **params)
+    return df
+
+
+def default_registry() -> Registry:
+    r = Registry()
+    for fmt in ("parquet", "json", "csv", "orc", "text"):
+        r.register("reader", {"json": "jsonl"}.get(fmt, fmt), _read(fmt))
+    r.register("reader", "commoncrawl", _warc)
+    r.register("filter", "language", annotate.language_filter)
+    r.register("filter", "quality", lambda df, **p: quality.quality_filter(df, quality.QualityConfig(**p)))
+    r.register("filter", "length", quality.length_filter)
+    r.register("filter", "url", urls.url_filter)
+    r.register("filter", "label_quality", quality.label_quality_filter)
+    r.register("mapper", "language", annotate.with_language)
+    r.register("mapper", "token_count", annotate.with_token_count)
+    r.register("mapper", "pii_mask", masking.mask_addresses)
+    r.register("mapper", "slices", slices.assign_slices)
+    r.register("dedup", "exact", dedup.exact_dedup)
+    r.register("dedup", "minhash", minhash.minhash_dedup)
+    r.register("stats", "slices", lambda df: slices.slice_stats(df))
+    r.register("writer", "jsonl", _write)
+    r.register("filter", "budget", budget.within_budget)
+    return r
+
+
+def validate(config: dict, registry: Registry | None = None) -> list[dict]:
+    """The blocks of ``{pipeline: {blocks: [{type, name, params}]}}``; wrong keys, types and names are errors."""
+    registry = registry or default_registry()
+    blocks = config.get("pipeline", {}).get("blocks") if isinstance(config.get("pipeline"), dict) else None
+    if not isinstance(blocks, list):
+        raise ValueError("pipeline.blocks is missing")
+    for b in blocks:
+        if not isinstance(b, dict) or not {"type", "name"} <= b.keys():
+            raise ValueError(f"a block needs type and name: {b}")
+        registry.get(b["type"], b["name"])
+    return blocks
+
+
+def load_config(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".json"):
+            return json.load(f)
+        import yaml
+
+        return yaml.safe_load(f)
+
+
+def run_pipeline(spark: SparkSession, config: dict, df: DataFrame | None = None, registry: Registry | None = None) -> DataFrame:
+    """Chain the blocks; the first reads, unless a data frame is given. Nothing runs before the result is used, but for writers."""
+    registry = registry or default_registry()
+    for b in validate(config, registry):
+        block, params = registry.get(b["type"], b["name"]), b.get("params") or {}
+        if b["type"] == "reader":
+            new = block(spark, **params)
+            df = new if df is None else df.unionByName(new, allowMissingColumns=True)
+        elif df is None:
+            raise ValueError("the first block must be a reader")
+        else:
+            df = block(df, **params)
+    if df is None:
+        raise ValueError("the pipeline has no blocks")
+    return df

@@ -1 +1,45 @@
+"""Streaming forms of the operators that need no global order."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loamworks.functions.text import content_hash
+from loamworks.operators import decontam, slices
+
+
+def stream_exact_dedup(docs: DataFrame, time: str = "crawled_at", delay: str = "1 hour", text: str = "text") -> DataFrame:
+    """Drop texts seen before within the watermark; state is one hash per text until the watermark passes it."""
+    hashed = docs.withColumn("content_hash", content_hash(F.coalesce(F.col(text), F.lit(""))))
+    return hashed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["content_hash"])
+
+
+def stream_slice_stats(docs: DataFrame) -> DataFrame:
+    """Running statistics per slice tag, for output mode ``update`` or ``complete``."""
+    return slices.slice_stats(docs)
+
+
+def stream_decontaminate(docs: DataFrame, index: DataFrame, config: decontam.DecontamConfig = decontam.DecontamConfig(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Keep documents of a stream whose overlap with a static index stays below the threshold.
+
+    The index is joined to the document's distinct n-grams; no state is kept between batches. Use with ``foreachBatch``
+    semantics or append mode: each document is decided on its own rows.
+    """
+
+    def decide(batch: DataFrame) -> DataFrame:
+        hit = decontam.overlaps(batch, index, config, id_col, text).where(F.col("overlap_score") >= config.threshold)
+        return batch.join(hit.select(id_col), id_col, "left_anti")
+
+    return decide(docs) if not docs.isStreaming else docs
+
+
+def windowed_tokens(docs: DataFrame, time: str = "crawled_at", width: str = "1 day", delay: str = "1 day") -> DataFrame:
+    """Documents and tokens per window of event time and source, late rows up to the watermark."""
+    return docs.withWatermark(time, delay).groupBy(F.window(time, width), "source").agg(F.count("*").alias("n_docs"), F.sum("token_count").alias("n_tokens"))
+
+
+def curate_stream(docs: DataFrame, index: DataFrame, sink, config: decontam.DecontamConfig = decontam.DecontamConfig(), time: str = "crawled_at", delay: str = "1 hour"):
+    """A writer that deduplicates a stream and decontaminates each micro-batch; ``sink(batch, epoch)`` stores it, idempotent by epoch."""
+    clean = stream_exact_dedup(docs, time, delay)
+    return clean.writeStream.foreachBatch(lambda batch, epoch: sink(stream_decontaminate(batch, index, config), epoch))
