@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,20 +30,27 @@ def content_hash(text: Column, normalize: bool = True) -> Column:
     return F.sha2(normalized(text) if normalize else text, 256)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once: inside a lambda a plain expression would be evaluated for every element."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _runs(items: Column, n: int, make: Callable[[Column], Column], kind: str) -> Column:
+    def runs(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
+        return F.when(F.size(w) > 0, F.transform(starts, lambda i: make(F.slice(w, i, n)))).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return bound(items, runs)
+
+
 def ngrams(items: Column, n: int) -> Column:
     """Runs of ``n`` items joined by spaces; a shorter list that is not empty is one run; none for an empty one."""
-    size = F.size(items)
-    starts = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), " "))
-    return F.when(size > 0, runs).otherwise(F.array().cast("array<string>"))
+    return _runs(items, n, lambda x: F.array_join(x, " "), "string")
 
 
 def ngram_hashes(items: Column, n: int) -> Column:
     """64-bit hashes of the same runs, without building their strings."""
-    size = F.size(items)
-    starts = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
-    runs = F.transform(starts, lambda i: F.xxhash64(F.slice(items, i, n)))
-    return F.when(size > 0, runs).otherwise(F.array().cast("array<bigint>"))
+    return _runs(items, n, F.xxhash64, "bigint")
 
 
 def count_chars(text: Column, char_class: str) -> Column:

@@ -18,13 +18,17 @@ STOP_WORDS = {
 }
 
 
+def _count_in(tokens: Column, known: list[str]) -> Column:
+    return F.size(F.filter(tokens, lambda w: w.isin(known)))
+
+
 def stop_word_language(text: Column) -> Column:
     """Struct of language and score: the language of most stop words, and its share of all stop words found.
 
     Blank text, and text without any of them, is ``unknown`` with score 0.
     """
     tokens = F.transform(words(F.coalesce(text, F.lit(""))), F.lower)
-    counts = [F.size(F.filter(tokens, lambda w, s=s: w.isin(s.split()))) for s in STOP_WORDS.values()]
+    counts = [_count_in(tokens, s.split()) for s in STOP_WORDS.values()]
     scored = F.array(*[F.struct(n.alias("n"), F.lit(lang).alias("lang")) for lang, n in zip(STOP_WORDS, counts, strict=True)])
     best, total = F.array_max(scored), sum(counts, F.lit(0))
     score = F.when(total > 0, F.round(best["n"] / total, 4)).otherwise(F.lit(0.0))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamworks.functions.text import ngram_hashes, ngrams, words
+from loamworks.functions.text import bound, ngram_hashes, ngrams, words
 
 MODES = ("drop", "tag", "downweight", "redact")
 
@@ -49,8 +49,8 @@ def overlaps(docs: DataFrame, index: DataFrame, config: DecontamConfig = Deconta
         (F.count_distinct("gram") / F.max("total")).alias("overlap_score"), F.count_distinct("gram").alias("matched"), F.min_by("eval_source", "pos").alias("eval_source"), sample.alias("_pos")
     )
     texts = docs.select(id_col, F.col(text).alias("_text")).join(by, id_col)
-    grams = texts.withColumn("_all", ngrams(_tokens("_text"), config.n)).withColumn("matched_ngrams", F.transform("_pos", lambda p: F.element_at("_all", p + 1)))
-    return grams.drop("_text", "_pos", "_all")
+    found = bound(ngrams(_tokens("_text"), config.n), lambda all_: F.transform("_pos", lambda p: F.element_at(all_, p + 1)))
+    return texts.withColumn("matched_ngrams", found).drop("_text", "_pos")
 
 
 def decontaminate(docs: DataFrame, index: DataFrame, config: DecontamConfig = DecontamConfig(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,12 +98,14 @@ def flagged_ids(flagged: DataFrame, path: str, id_col: str = "doc_id") -> None:
 
 
 def contains_item(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 8) -> DataFrame:
-    """``doc, item`` where the normalized text of the item stands literally in that of the document.
+    """``doc, item`` where the normalized text of the item stands in that of the document, word for word.
 
     Candidates share the item's first ``n`` words; only they are searched.
     """
-    body = F.array_join(_tokens(text), " ")
-    d = docs.select(F.col(id_col), body.alias("_body"), F.explode(F.array_distinct(ngram_hashes(_tokens(text), n))).alias("g"))
+    d = docs.select(id_col, F.explode(F.array_distinct(ngram_hashes(_tokens(text), n))).alias("g"))
     first = F.element_at(ngram_hashes(_tokens(item_text), n), 1)
-    i = items.where(F.size(_tokens(item_text)) >= n).select(F.col(item), F.array_join(_tokens(item_text), " ").alias("_item"), first.alias("g"))
-    return d.join(i, "g").where(F.contains("_body", "_item")).select(id_col, item).distinct()
+    padded = lambda c: F.concat(F.lit(" "), F.array_join(_tokens(c), " "), F.lit(" "))
+    i = items.where(F.size(_tokens(item_text)) >= n).select(F.col(item), padded(item_text).alias("_item"), first.alias("g"))
+    met = d.join(i, "g").drop("g")
+    bodies = docs.join(met.select(id_col).distinct(), id_col, "left_semi").select(id_col, padded(text).alias("_body"))
+    return met.join(bodies, id_col).where(F.contains("_body", "_item")).select(id_col, item).distinct()

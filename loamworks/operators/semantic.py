@@ -43,7 +43,7 @@ def similar_embeddings(df: DataFrame, threshold: float = 0.9, id_col: str = "vec
     mates = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least("block", k).alias("x"), F.greatest("block", k).alias("y")))
     dealt = rows.select("id", "v", "block", F.explode(mates).alias("pair")).select("id", "v", "block", "pair.x", "pair.y")
 
-    def compare(key, batch: pa.Table) -> pa.Table:
+    def compare(key, batch):
         x, y = key[0].as_py(), key[1].as_py()
         ids, block = batch.column("id").to_numpy(), batch.column("block").to_numpy()
         v = np.array(batch.column("v").to_pylist(), float) if len(ids) else np.empty((0, 1))
@@ -89,7 +89,7 @@ def hyperplane_candidates(df: DataFrame, threshold: float = 0.9, id_col: str = "
     mates = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("x"), F.greatest("part", k).alias("y")))
     dealt = cells.select("id", "t", "code", F.explode(mates).alias("p")).select("id", "t", "code", "p.*").join(rows, "id")
 
-    def compare(key, batch: pa.Table) -> pa.Table:
+    def compare(key, batch):
         ids, v = batch.column("id").to_numpy(), np.array(batch.column("v").to_pylist(), float)
         norm = np.linalg.norm(v, axis=1)
         ok = norm > 0

@@ -151,7 +151,7 @@ def early_stops(reports: DataFrame, patience: int = 3, delta: float = 0.01) -> D
     ``reports``: trial_id, step, loss. A scan in order within each trial; a trial's reports are as many as its steps.
     """
 
-    def scan(key, table: pa.Table) -> pa.Table:
+    def scan(key, table):
         rows = sorted(zip(table.column("step").to_pylist(), table.column("loss").to_pylist(), strict=True))
         best, bad, stop = math.inf, 0, None
         for step, loss in rows:

@@ -120,9 +120,10 @@ def load_blocklist(spark: SparkSession, path: str) -> DataFrame:
 
 def validate_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """``file, rows, corrupt``: rows that do not parse as JSON of the schema, by shard."""
-    df = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    file = F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file")
-    return df.select("*", file).groupBy("file").agg(F.count("*").alias("rows"), F.count("_corrupt").alias("corrupt"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    parsed = lines.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.from_json("value", f"{schema}, _corrupt string", options).alias("r"))
+    return parsed.groupBy("file").agg(F.count("*").alias("rows"), F.count("r._corrupt").alias("corrupt"))
 
 
 def recover_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -21,17 +21,15 @@ def stream_slice_stats(docs: DataFrame) -> DataFrame:
 
 
 def stream_decontaminate(docs: DataFrame, index: DataFrame, config: decontam.DecontamConfig = decontam.DecontamConfig(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Keep documents of a stream whose overlap with a static index stays below the threshold.
+    """Keep documents of a micro-batch whose overlap with a static index stays below the threshold.
 
-    The index is joined to the document's distinct n-grams; no state is kept between batches. Use with ``foreachBatch``
-    semantics or append mode: each document is decided on its own rows.
+    Each document is decided on its own rows, so no state is kept between batches. For use inside ``foreachBatch``
+    (``curate_stream``): the overlap is an aggregate per document, which an append-mode stream cannot give.
     """
-
-    def decide(batch: DataFrame) -> DataFrame:
-        hit = decontam.overlaps(batch, index, config, id_col, text).where(F.col("overlap_score") >= config.threshold)
-        return batch.join(hit.select(id_col), id_col, "left_anti")
-
-    return decide(docs) if not docs.isStreaming else docs
+    if docs.isStreaming:
+        raise ValueError("apply this to the batches of foreachBatch")
+    hit = decontam.overlaps(docs, index, config, id_col, text).where(F.col("overlap_score") >= config.threshold)
+    return docs.join(hit.select(id_col), id_col, "left_anti")
 
 
 def windowed_tokens(docs: DataFrame, time: str = "crawled_at", width: str = "1 day", delay: str = "1 day") -> DataFrame:
