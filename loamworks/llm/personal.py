@@ -52,7 +52,7 @@ _LAST = re.compile(r"([^\W_]+)$")
 def _emails(text: str) -> list[tuple[int, int, list[float], int | None]]:
     out = []
     low = text.lower()
-    if not any(x in low for x in ("@", "＠", "&#64;", "dot", "punkt", "punto", "point")):
+    if not any(x in low for x in ("@", "＠", "&#64;", "at)", "at]", "at}", "at>", "at )", "at ]", "ät)", "arroba", " dot ", " punto ")):
         return out
     for m in _AT.finditer(text):
         left = _LOCAL.search(text, max(0, m.start() - 80), m.start())
@@ -396,8 +396,8 @@ class PersonalModel:
             if not rows:
                 continue
             trees = self.trees[kind]
-            if trees is None:  # no cue taught anything: the clear cases alone
-                p = np.array([float(r[4] == 1) for r in rows])
+            if trees is None:  # no cue taught anything: the clear cases alone, and words with the letters of both names
+                p = np.array([float(r[4] == 1 or kind == "name" and r[3][0] > _LIKELY and (r[3][2] > _LIKELY / 2 or r[3][3] == 1)) for r in rows])
             else:
                 p = trees.probability(np.array([r[3] for r in rows], float))
                 # where few examples taught the trees, a clear cue counts beside them
