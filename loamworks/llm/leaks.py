@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamworks.llm.batches import pieces
 from loamworks.llm.fm_index import FMIndex
 
 _WORD = re.compile(r"[^\W_]+")
@@ -240,8 +241,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, config: LeakConfig = Leak
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, config.shard_docs):
-                part = batch.slice(k, config.shard_docs)
+            for part in pieces(batch, 1, config.shard_docs):
                 texts, ids = part.column(1).to_pylist(), part.column(0).to_pylist()
                 out = []
                 spans: dict[int, list | None] = {}

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamworks.llm.batches import pieces
 from loamworks.llm.boosting import Boosted, fit_boosted
 from loamworks.session import bounded_sample
 
@@ -495,8 +496,7 @@ def fit_personal_model(documents: DataFrame, lexicon: DataFrame, config: TrainCo
 def _map(documents: DataFrame, schema: str, names: list[str], model: PersonalModel, rows: Callable) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                part = batch.slice(k, 2048)
+            for part in pieces(batch, 1, 2048):
                 ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 out = rows(ids, texts, model.spans(texts))
                 yield pa.RecordBatch.from_pylist(out, schema=arrow) if out else pa.RecordBatch.from_pylist([], schema=arrow)

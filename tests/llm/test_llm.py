@@ -438,3 +438,17 @@ def test_reading_model_from_tables(spark):
     assert model.grade(model.difficulty([level_text(rng, 2)])[0])[0] > 1.5
     empty = reading.fit_reading_model(df, ratings.limit(0))
     assert len(empty.difficulty(["a b", None])[0]) == 2
+
+
+# batches
+
+
+def test_pieces():
+    import pyarrow as pa
+
+    from loamworks.llm.batches import pieces
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a" * 5, None, "b" * 30, "", "c" * 4, "d" * 4, "é"])], names=["i", "t"])
+    cut = [p.column(0).to_pylist() for p in pieces(batch, 1, 3, 10)]
+    assert [i for p in cut for i in p] == list(range(7)) and [2] in [p[:1] for p in cut] and max(map(len, cut)) <= 3
+    assert list(pieces(batch.slice(0, 0), 1, 3)) == []
