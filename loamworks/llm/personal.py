@@ -190,7 +190,7 @@ _STREET_ES = r"(?:calle|c/|cl\.|avenida|avda\.?|av\.|plaza|pza\.?|plza\.?|paseo|
 _GAP = r"[ \u00a0\u202f\n]"
 #: A house number before the street, and one after it, each with the street on that side.
 _NUMBER_FIRST = re.compile(rf"(?<![\w.,/\-])({_HOUSE}),?{_GAP}(?=[^\W\d_])", re.I)
-_NUMBER_LAST = re.compile(rf"(?<=[^\W\d_.,º°]{_GAP})({_HOUSE})(?![\w,.]\d|\w)", re.I)
+_NUMBER_LAST = re.compile(rf"(?<=[^\s\d|;:]{_GAP})({_HOUSE})(?![\w,.]\d|\w)", re.I)
 _RIGHT = tuple(
     re.compile(p.replace(r"\s", _GAP), re.I)
     for p in (
@@ -318,7 +318,8 @@ _BEFORE = re.compile(r"(?<![\w@.+\-])([^\W\d_]{2,}|[^\W\d_]\.)((?:\s[^\W\d_]\.)?
 _AFTER = re.compile(r",\s([^\W\d_]{2,}|[^\W\d_]\.)((?:\s[^\W\d_]\.)?)(?![\w@])")
 #: The least score of letters that makes a word a candidate; names that the table lacks score above 1.5, most other words below 0.5.
 _LIKELY = 1.1
-_TITLE = re.compile(r"\b(?:mr|mrs|ms|miss|dr|prof|herrn?|frau|m|mme|mlle|sra?|srta|don|doña|señora?|señorita|monsieur|madame)\.?\s$", re.I)
+_TITLES = frozenset("mr mrs ms miss dr prof herr herrn frau m mme mlle sr sra srta don doña señor señora señorita monsieur madame".split())
+_TITLE = re.compile(rf"\b(?:{'|'.join(sorted(_TITLES))})\.?\s$", re.I)
 
 
 def _places(low: str, words: list[str]) -> list[tuple[int, int]]:
@@ -354,7 +355,11 @@ def _names(text: str, given: Letters, family: Letters, common: frozenset) -> lis
         ahead = low[max(0, start - 30) : start].split()
         near = bool(ahead) and low[start - 1].isspace() and (ahead[-1].endswith(".") or given(ahead[-1].lstrip("(\"'“«")) > _LIKELY / 2)
         if near and (b := _BEFORE.search(text, max(0, start - 40), start)):
-            found.append((b.start(), end, b.group(1), b.group(2), 0.0))
+            title = b.group(1).rstrip(".").lower() in _TITLES
+            if b.group(2) and (title or not b.group(1).endswith(".") and given(b.group(1).lower()) < _LIKELY / 2):
+                found.append((b.start(2) + 1, end, b.group(2)[1:], "", 0.0))
+            else:
+                found.append((b.start(), end, b.group(1), b.group(2), 0.0))
         if text[end : end + 1] == "," and (a := _AFTER.match(text, end)):
             found.append((start, a.end(), a.group(1), a.group(2), 1.0))
         for s, e, first, middle, turned in found:

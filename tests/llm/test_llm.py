@@ -452,3 +452,9 @@ def test_pieces():
     cut = [p.column(0).to_pylist() for p in pieces(batch, 1, 3, 10)]
     assert [i for p in cut for i in p] == list(range(7)) and [2] in [p[:1] for p in cut] and max(map(len, cut)) <= 3
     assert list(pieces(batch.slice(0, 0), 1, 3)) == []
+
+
+def test_initials_titles_and_trailing_house_numbers(personal_model):
+    text = "Thanks to T. Hulvmire and Ms O. Garvlund. Post an Ambrelstr. 127, Stavscombe. Correo: Avenida de Mallin, 219, Dunholt. Am Grentz 200-202 ist zu. El paquete espera en Avda. Rondel nº 127."
+    got = {text[a:b] for a, b, _ in personal_model.spans([text])[0]}
+    assert {"T. Hulvmire", "O. Garvlund", "Ambrelstr. 127", "Avenida de Mallin, 219", "Avda. Rondel nº 127"} <= got
