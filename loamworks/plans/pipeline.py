@@ -113,3 +113,25 @@ def run_pipeline(spark: SparkSession, config: dict, df: DataFrame | None = None,
     if df is None:
         raise ValueError("the pipeline has no blocks")
     return df
+
+
+def run_shards(spark: SparkSession, shards: dict[str, str], transform: Callable[[DataFrame], DataFrame], out: str, fmt: str = "parquet") -> dict[str, str]:
+    """Run a transform shard by shard (name to input path) and write each under ``out``; shards already written are left alone.
+
+    Returns ``done``, ``skipped`` or ``failed: …`` by name. A shard counts as written once Spark has committed it, so an
+    interrupted run may simply be started again.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    state = {}
+    for name, path in shards.items():
+        target = f"{out}/{name}"
+        marker = hadoop(f"{target}/_SUCCESS")
+        if marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+            state[name] = "skipped"
+            continue
+        try:
+            transform(spark.read.format(fmt).load(path)).write.mode("overwrite").format(fmt).save(target)
+            state[name] = "done"
+        except Exception as e:
+            state[name] = f"failed: {e.__class__.__name__}"
+    return state

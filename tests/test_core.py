@@ -452,3 +452,19 @@ def test_streaming(spark, tmp_path):
     assert len(got) == 1 and got[0] in (1, 2)
     with pytest.raises(ValueError):
         streaming.stream_decontaminate(stream, items, c)
+
+
+def test_run_shards_resumes(spark, tmp_path):
+    for k in ("a", "b"):
+        docs(spark, k).write.parquet(str(tmp_path / k))
+    shards, out = {"a": str(tmp_path / "a"), "b": str(tmp_path / "b"), "c": str(tmp_path / "missing")}, str(tmp_path / "out")
+    first = pipeline.run_shards(spark, shards, lambda df: df, out)
+    assert first["a"] == first["b"] == "done" and first["c"].startswith("failed")
+    assert pipeline.run_shards(spark, shards, lambda df: df, out)["a"] == "skipped"
+
+
+def test_queries_and_sql_have_the_same_names():
+    import __spark_entry__
+
+    queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    assert set(sql) <= set(queries) and len(sql) >= 45
