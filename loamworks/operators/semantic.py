@@ -31,14 +31,16 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFr
     raise RuntimeError(f"not settled in {rounds} rounds")
 
 
-def similar_embeddings(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector: str = "embedding", blocks: int = 16) -> DataFrame:
+def similar_embeddings(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector: str = "embedding", block_rows: int = 4000) -> DataFrame:
     """``a, b, cosine`` of all pairs at or above the threshold, exactly.
 
-    Rows are dealt into blocks by a hash of their id; each pair of blocks is compared once, as one product of matrices.
+    Rows are dealt into blocks of about ``block_rows`` by a hash of their id; each pair of blocks is compared once, as one
+    product of matrices, so a task holds two blocks however many rows there are.
     The work is quadratic in the number of rows, which is what exactness costs; ``hyperplane_candidates`` avoids it.
     Null vectors and vectors of length zero are similar to nothing.
     """
     rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(8, -(-df.count() // block_rows))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     mates = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least("block", k).alias("x"), F.greatest("block", k).alias("y")))
     dealt = rows.select("id", "v", "block", F.explode(mates).alias("pair")).select("id", "v", "block", "pair.x", "pair.y")
