@@ -8,11 +8,24 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"[^\W_]+")
-_MEMORY: dict[str, int] = {}
+#: Bits of a shingle's hash; the rest of a 64-bit number holds the place of its text in a batch.
+HASH_BITS = 50
+_MEMORY: dict[str | bytes, int] = {}
 _MEMORY_LIMIT = 1_000_000
 
 
-def word_ids(words: list[str]) -> np.ndarray:
+_PLAIN = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+
+
+def words_of(text: str | None) -> list:
+    """Runs of letters and digits in lower case; of plain ASCII texts as bytes, which is faster and hashes alike."""
+    if not text:
+        return []
+    low = text.lower()
+    return low.encode().translate(_PLAIN).split() if low.isascii() else WORD.findall(low)
+
+
+def word_ids(words: list) -> np.ndarray:
     """64-bit hashes of words; a worker keeps those it has seen, up to a fixed number."""
     memory = _MEMORY
     if len(memory) > _MEMORY_LIMIT:
@@ -34,11 +47,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of runs of ``n`` words, and the bounds of each text's part (len + 1).
+    """Distinct hashes (``HASH_BITS`` bits) of runs of ``n`` words, and the bounds of each text's part (len + 1).
 
     A text that is null or has fewer than ``n`` words has an empty set. Each part is sorted.
     """
-    found = [WORD.findall(t.lower()) if t else [] for t in texts]
+    if len(texts) > 2 ** (64 - HASH_BITS):
+        raise ValueError("too many texts in a batch")
+    found = [words_of(t) for t in texts]
     counts = np.fromiter(map(len, found), np.int64, len(found))
     ids = word_ids([w for words in found for w in words])
     ends = np.cumsum(counts)
@@ -47,14 +62,13 @@ def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarra
     runs = mix(ids[: len(ids) - n + 1] + np.uint64(1))
     for k in range(1, n):
         runs = mix(runs * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - n + 1 + k])
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), counts)
     whole = owner[: len(ids) - n + 1] == owner[n - 1 :]
-    runs, owner = runs[whole], owner[: len(ids) - n + 1][whole]
-    order = np.lexsort((runs, owner))
-    runs, owner = runs[order], owner[order]
-    first = np.ones(len(runs), bool)
-    first[1:] = (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])
-    runs, owner = runs[first], owner[first]
+    # text and hash in one number: sorting plain integers is much faster than sorting by two keys
+    key = np.sort((owner[: len(ids) - n + 1][whole] << np.uint64(HASH_BITS)) | (runs[whole] >> np.uint64(64 - HASH_BITS)))
+    if len(key):
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    runs, owner = key & np.uint64(2**HASH_BITS - 1), (key >> np.uint64(HASH_BITS)).astype(np.int64)
     bounds = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(np.bincount(owner, minlength=len(texts)), out=bounds[1:])
     return runs, bounds
