@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamworks.functions.text import words
+from loamworks.functions.text import bound, words
 
 #: Frequent function words by language, for the scorer that needs no model.
 STOP_WORDS = {
@@ -27,12 +27,16 @@ def stop_word_language(text: Column) -> Column:
 
     Blank text, and text without any of them, is ``unknown`` with score 0.
     """
-    tokens = F.transform(words(F.coalesce(text, F.lit(""))), F.lower)
-    counts = [_count_in(tokens, s.split()) for s in STOP_WORDS.values()]
-    scored = F.array(*[F.struct(n.alias("n"), F.lit(lang).alias("lang")) for lang, n in zip(STOP_WORDS, counts, strict=True)])
-    best, total = F.array_max(scored), sum(counts, F.lit(0))
-    score = F.when(total > 0, F.round(best["n"] / total, 4)).otherwise(F.lit(0.0))
-    return F.struct(F.when(total > 0, best["lang"]).otherwise(F.lit("unknown")).alias("language"), score.alias("language_score"))
+    tokens = words(F.lower(F.coalesce(text, F.lit(""))))
+    counts = bound(tokens, lambda t: F.array(*[F.struct(_count_in(t, s.split()).alias("n"), F.lit(lang).alias("lang")) for lang, s in STOP_WORDS.items()]))
+
+    def judge(scored: Column) -> Column:
+        best = F.array_max(scored)
+        total = F.aggregate(scored, F.lit(0), lambda a, x: a + x["n"])
+        score = F.when(total > 0, F.round(best["n"] / total, 4)).otherwise(F.lit(0.0))
+        return F.struct(F.when(total > 0, best["lang"]).otherwise(F.lit("unknown")).alias("language"), score.alias("language_score"))
+
+    return bound(counts, judge)
 
 
 def with_language(df: DataFrame, scorer: Callable[[Column], Column] = stop_word_language, text: str = "text") -> DataFrame:
