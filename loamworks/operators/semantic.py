@@ -6,6 +6,8 @@ is kept once all its earlier neighbours are dropped, and dropped once one of the
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,28 +64,57 @@ def similar_embeddings(df: DataFrame, threshold: float = 0.9, id_col: str = "vec
     return dealt.groupBy("x", "y").applyInArrow(compare, "a bigint, b bigint, cosine double")
 
 
-def hyperplane_candidates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector: str = "embedding", tables: int = 24, bits: int = 12, seed: int = 42, most: int = 1000) -> DataFrame:
+def index_size(rows: int, threshold: float, recall: float = 0.99, bits: int | None = None) -> tuple[int, int]:
+    """Tables and bits of a hyperplane index that finds a pair exactly at ``threshold`` with a chance of ``recall`` at least.
+
+    Two vectors at an angle lie on the same side of a plane with chance ``1 - angle / pi``, so of t tables of b bits one holds them
+    together with chance ``1 - (1 - side ** b) ** t``. Of the sizes that reach the recall, the one with the least work is taken:
+    a copy of a row in a table counts as 200 comparisons, strangers meet in one of ``2 ** bits`` buckets.
+    """
+    side = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+
+    def needed(b: int) -> int:
+        met = side**b
+        return 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log1p(-met))
+
+    if not 0 < recall < 1 or not side > 0:
+        raise ValueError(f"no index has a recall of {recall} at a cosine of {threshold}")
+    sizes = [(needed(b), b) for b in ([bits] if bits else range(1, 21)) if side**b > 1e-12]
+    if not sizes:
+        raise ValueError(f"{bits} bits are too many for a cosine of {threshold}")
+    return min(sizes, key=lambda x: x[0] * (200 + rows / 2 ** x[1]))
+
+
+def hyperplane_candidates(
+    df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector: str = "embedding", tables: int | None = None, bits: int | None = None, seed: int = 42, most: int = 1000, recall: float = 0.99
+) -> DataFrame:
     """``a, b, cosine`` at or above the threshold among vectors that share a bucket of random hyperplanes in some table.
 
-    An index for collections too large for all pairs: every row is indexed, recall grows with ``tables``. Buckets of more than
-    ``most`` rows are split further by ``most``-sized exact blocks, so no bucket is skipped.
+    An index for collections too large for all pairs: every row is indexed. Tables and bits follow from the threshold, so that
+    a pair exactly at it is found with a chance of ``recall`` and closer ones with a higher one (``index_size``); ``tables`` given as
+    a number is used as it is. Buckets of more than ``most`` rows are split further by ``most``-sized exact blocks, so no bucket is skipped.
     """
     rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    if tables is None:
+        tables, bits = index_size(rows.count(), threshold, recall, bits)
+    elif bits is None:
+        bits = 12
     rng_seed = seed
 
     def sign(batches):
         planes = None
-        for batch in batches:
-            v = np.array(batch.column(1).to_pylist(), float)
-            if not len(v):
-                continue
-            if planes is None:
-                planes = np.random.default_rng(rng_seed).standard_normal((v.shape[1], tables * bits))
-            code = ((v @ planes > 0).reshape(len(v), tables, bits) * (1 << np.arange(bits))).sum(axis=2)
-            index = pa.array(np.repeat(np.arange(len(v)), tables))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(index), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(v))), pa.array(code.ravel().astype(np.int64))], names=["id", "t", "code"]
-            )
+        for whole in batches:
+            # signs of some four million planes at a time
+            for at in range(0, len(whole), step := max(1, 4_000_000 // (tables * bits))):
+                batch = whole.slice(at, step)
+                v = np.array(batch.column(1).to_pylist(), float)
+                if planes is None:
+                    planes = np.random.default_rng(rng_seed).standard_normal((v.shape[1], tables * bits))
+                code = ((v @ planes > 0).reshape(len(v), tables, bits) * (1 << np.arange(bits))).sum(axis=2)
+                index = pa.array(np.repeat(np.arange(len(v)), tables))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(index), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(v))), pa.array(code.ravel().astype(np.int64))], names=["id", "t", "code"]
+                )
 
     signed = rows.mapInArrow(sign, "id bigint, t int, code bigint")
     sizes = signed.groupBy("t", "code").agg(F.count("*").alias("n")).where("n > 1")

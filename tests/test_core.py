@@ -163,6 +163,20 @@ def test_embeddings(spark):
     assert found <= want and len(found) >= 0.9 * len(want)
 
 
+def test_index_recall_with_the_parameters_of_the_query(spark):
+    from loamworks.session import table
+
+    for threshold in (0.2, 0.4, 0.7, 0.9, 0.99):
+        for rows in (100, 10_000, 10**6):
+            t, b = semantic.index_size(rows, threshold)
+            assert 1 - (1 - (1 - math.acos(threshold) / math.pi) ** b) ** t >= 0.99 - 1e-9
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        df = table(spark, f"/root/testdata/{sf}", "embeddings")
+        exact = {(r["a"], r["b"]) for r in semantic.similar_embeddings(df, 0.4).collect()}
+        found = {(r["a"], r["b"]) for r in semantic.hyperplane_candidates(df, 0.4).collect()}
+        assert found <= exact and len(found) >= 0.9 * len(exact), (sf, len(found), len(exact))
+
+
 def test_shingle_links(spark):
     a = " ".join(f"w{k}" for k in range(40))
     df = docs(spark, a, a + " x", a, "tiny", None)
