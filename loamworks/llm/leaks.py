@@ -137,6 +137,39 @@ def align(question: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int
     return best[1:]
 
 
+def best_window(question: np.ndarray, passage: np.ndarray, config: LeakConfig) -> tuple[int, int, int, int] | None:
+    """The window with most matches of which at most one word in ``tolerance`` differs: matched words, differing words, and its bounds.
+
+    None if no window holds enough of the question. For each number of differing words the most matches are found, so neither
+    ties nor a stretch of poor words inside cut off what lies beyond.
+    """
+    m, n = len(question), len(passage)
+    one, whole = 1 << 32, max(1, config.tolerance - 1)
+    faults = m // whole
+    # matches in the upper half, the window's first word in the lower; a row for each number of differing words
+    fresh = np.tile(np.arange(n + 1, dtype=np.int64), (faults + 1, 1))
+    rows, most, end = fresh, np.zeros(faults + 1, np.int64), np.zeros(faults + 1, np.int64)
+    for w in question:
+        new = fresh.copy()
+        np.maximum(new[:, 1:], np.where(passage == w, rows[:, :-1] + one, 0), out=new[:, 1:])
+        if faults:
+            np.maximum(new[1:], rows[:-1], out=new[1:])  # missing
+            np.maximum(new[1:, 1:], rows[:-1, :-1], out=new[1:, 1:])  # replaced
+            for e in range(1, faults + 1):
+                np.maximum(new[e, 1:], new[e - 1, :-1], out=new[e, 1:])  # added
+        at = new.argmax(axis=1)
+        top = new[np.arange(faults + 1), at]
+        more = top >> 32 > most >> 32
+        most[more], end[more] = top[more], at[more]
+        rows = new
+    matched = most >> 32
+    enough = (matched >= np.arange(faults + 1) * whole) & (matched * config.tolerance >= (config.tolerance - 1) * config.share * m - 1e-9) & (matched > 0)
+    if not enough.any():
+        return None
+    e = int(np.argmax(np.where(enough, matched, -1)))
+    return int(matched[e]), e, int(most[e] & (one - 1)), int(end[e])
+
+
 def qualifies(matched: int, faults: int, n_words: int, config: LeakConfig) -> bool:
     """Half of the question's words, of which one in ``tolerance`` may differ."""
     return matched * config.tolerance >= (config.tolerance - 1) * config.share * n_words - 1e-9 and matched >= 2 * faults
@@ -184,6 +217,7 @@ def _verify(places, flat, starts, questions):
         ids = questions.ids[q]
         m = len(ids)
         margin = m // questions.config.tolerance + 3
+        reach = max(margin, m // max(1, questions.config.tolerance - 1))
         need = (questions.config.tolerance - 1) / questions.config.tolerance * questions.config.share * m
         masks: dict[int, int] = defaultdict(int)
         for k, w in enumerate(ids.tolist()):
@@ -194,15 +228,21 @@ def _verify(places, flat, starts, questions):
             j = i + 1
             while j < len(shifts) and shifts[j] - shifts[j - 1] <= margin:
                 j += 1
-            low = max(0, shifts[i] - margin)
-            high = min(int(starts[t + 1] - starts[t]), shifts[j - 1] + m + margin)
+            low = max(0, shifts[i] - reach)
+            high = min(int(starts[t + 1] - starts[t]), shifts[j - 1] + m + reach)
             part = flat[starts[t] + low : starts[t] + high]
             i = j
-            if common_in_order(masks, m, part.tolist()) < need - 1e-9:
+            common = common_in_order(masks, m, part.tolist())
+            if common < need - 1e-9:
                 continue
-            matched, faults, begin, end = align(ids, part)
-            if qualifies(matched, faults, m, questions.config):
-                out.append((t, q, low + begin, low + end))
+            best = best_window(ids, part, questions.config)
+            # a longer passage with more differing words may hold more of the question
+            if best is None or best[0] < common:
+                matched, faults, begin, end = align(ids, part)
+                if qualifies(matched, faults, m, questions.config) and (best is None or matched > best[0]):
+                    best = matched, faults, begin, end
+            if best:
+                out.append((t, q, low + best[2], low + best[3]))
     return out
 
 

@@ -74,6 +74,65 @@ def test_leaks(spark):
     assert leaks.find_leaks(docs(spark, *texts), items(spark).limit(0)).count() == 0
 
 
+def test_half_a_question_with_a_replaced_word_at_any_place():
+    config = leaks.LeakConfig()
+    for m in (16, 18, 24, 32, 33, 40, 48, 64):
+        q = [f"q{k}" for k in range(m)]
+        questions = leaks.Questions([(1, " ".join(q))], config)
+        half = -(-m // 2)
+        texts, wanted = [], []
+        for first in (0, m // 4, m - half):
+            faults = half // config.tolerance
+            for at in range(half):
+                # as many words replaced as the rule allows, the first at each place
+                passage = q[first : first + half]
+                gone = sorted({(at + k * half // faults) % half for k in range(faults)})
+                for k in gone:
+                    passage[k] = "other"
+                left = [k for k in range(half) if k not in gone]
+                texts.append(" ".join(["before", *passage, "after", "it"]))
+                wanted.append((len(texts) - 1, 0, 1 + left[0], 2 + left[-1]))
+        assert sorted(leaks.search_shard(texts, questions)) == wanted
+
+
+def test_best_window_equals_trying_all():
+    def most(q, p, faults):
+        rows = {(i, j): 0 for i in range(len(q) + 1) for j in range(len(p) + 1)}
+        table = []
+        for e in range(faults + 1):
+            new = {}
+            for i, j in rows:
+                x = 0
+                if i and j and q[i - 1] == p[j - 1]:
+                    x = new[i - 1, j - 1] + 1
+                if e:
+                    x = max([x, *(table[-1][a] for a in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if a in table[-1])])
+                new[i, j] = x
+            table.append(new)
+        return [max(t.values()) for t in table]
+
+    rng, config = np.random.default_rng(5), leaks.LeakConfig()
+    for _ in range(150):
+        m = int(rng.integers(1, 33))
+        q = rng.integers(0, 12, m)
+        p = q[m // 4 :].copy()
+        p[rng.random(len(p)) < 0.15] = 99
+        p = np.concatenate([rng.integers(0, 12, 4), p[rng.random(len(p)) > 0.05]])
+        found = most(q.tolist(), p.tolist(), m // 7)
+        good = [h for e, h in enumerate(found) if h >= 7 * e and h * 8 >= 3.5 * m and h]
+        got = leaks.best_window(q, p, config)
+        assert (got[0] if got else None) == (max(good) if good else None)
+        if got:
+            assert 0 <= got[2] < got[3] <= len(p) and q.tolist().count(p[got[2]]) and q.tolist().count(p[got[3] - 1])
+
+
+def test_seeds_suffice_for_every_window():
+    config = leaks.LeakConfig()
+    for m in range(1, 2001):
+        runs = [-(-max(7 * e, -(-7 * m // 16), 1) // (e + 1)) for e in range(m // 7 + 1)]
+        assert min(m, leaks.seed_length(m, config)) <= min(runs), m
+
+
 # 2 tokens
 
 
