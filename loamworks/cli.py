@@ -21,6 +21,8 @@ def main(argv: list[str] | None = None) -> int:
         p = sub.add_parser(name)
         for a in args:
             p.add_argument(a)
+        if name in ("run", "reproduce"):
+            p.add_argument("--evaluation", help="Parquet of held-out items (item_id, source, text); needed unless the policy turns decontamination off")
     a = parser.parse_args(argv)
     if a.command == "hash":
         print(policy.load_policy(a.policy).digest())
@@ -34,7 +36,7 @@ def main(argv: list[str] | None = None) -> int:
         from loamworks.sources import tables
 
         p, spark = policy.load_policy(a.policy), _spark()
-        curated = policy.execute(spark.read.parquet(a.input), p)
+        curated = policy.execute(spark.read.parquet(a.input), p, spark.read.parquet(a.evaluation) if a.evaluation else None)
         tables.write_shards(curated.documents.drop("quality_scores"), f"{a.output}/data")
         tables.save_manifest(tables.make_manifest(p.name, tables.shard_manifest(spark, f"{a.output}/data"), p.to_dict(), [a.input], seed=p.seed, code=release.run_stamp()["code"]), f"{a.output}/manifest.json")
     elif a.command == "verify":
@@ -44,7 +46,9 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "reproduce":
         from loamworks.sources import tables
 
-        print(release.rebuild(_spark(), tables.load_manifest(a.manifest), lambda s, _: s.read.parquet(a.input), a.output))
+        spark = _spark()
+        evaluation = spark.read.parquet(a.evaluation) if a.evaluation else None
+        print(release.rebuild(spark, tables.load_manifest(a.manifest), lambda s, _: s.read.parquet(a.input), a.output, evaluation))
     return 0
 
 

@@ -137,12 +137,27 @@ def annotated(docs: DataFrame, policy: Policy, language: Callable[[Column], Colu
     return slices.assign_slices(masking.mask_addresses(out))
 
 
+def held_out(c: DecontamPolicy, evaluation: DataFrame | None) -> DataFrame:
+    """The evaluation items that a policy decontaminates against."""
+    if evaluation is None:
+        raise ValueError("decontamination is enabled but there is no evaluation table; give one or set decontam.enabled to false")
+    source, targets = F.lower(F.trim("source")), sorted({t.strip().lower() for t in c.targets})
+    items = evaluation.where(source.isin(*targets)) if targets else evaluation
+    if items.isEmpty():
+        raise ValueError(f"the evaluation table has no items{f' of {targets}' if targets else ''}")
+    if missing := set(targets) - {r["s"] for r in items.select(source.alias("s")).distinct().collect()}:
+        raise ValueError(f"the evaluation table has no items of {sorted(missing)}")
+    return items
+
+
 def execute(docs: DataFrame, policy: Policy, evaluation: DataFrame | None = None, order: str = "doc_id", embeddings: DataFrame | None = None, **scorers) -> Curated:
     """Carry out a policy: filter, annotate, deduplicate, decontaminate, and cut to the budget and the caps.
 
     ``evaluation``: item_id, source, text of held-out material; only the policy's targets count, if it names any (any case).
+    If decontamination is enabled, it is an error if there is none, or none of one of the targets.
     Statistics count documents that deduplication or decontamination dropped, up to the document that ends the budget.
     """
+    items = held_out(policy.decontam, evaluation) if policy.decontam.enabled else None
     rows = materialize(annotated(docs, policy, **scorers))
     d = policy.dedup
     if d.method == "exact":
@@ -164,8 +179,7 @@ def execute(docs: DataFrame, policy: Policy, evaluation: DataFrame | None = None
     marked = marked.withColumn("dedup_method", F.lit(d.method))
 
     c = policy.decontam
-    if c.enabled and evaluation is not None:
-        items = evaluation.where(F.lower(F.trim("source")).isin(*[t.strip().lower() for t in c.targets])) if c.targets else evaluation
+    if items is not None:
         config = decon.DecontamConfig(c.ngram_size, c.overlap_threshold, c.mode)
         index = decon.build_index(items, config)
         if c.mode == "drop":

@@ -393,6 +393,36 @@ def test_execute_policy(spark):
         policy.execute(df, p)
 
 
+def leaking(spark, tmp_path):
+    """Paths of a policy, documents of which one leaks, and evaluation items."""
+    text = "the cat and the dog is in the house with it for this and that day number {}"
+    rows = [(i, text.format(i) + " " + " ".join(f"w{i}{k}" for k in range(30)), "d") for i in range(4)]
+    where = [str(tmp_path / x) for x in ("p.yaml", "docs", "items")]
+    p = policy.Policy("p", min_language_score=0.5, quality=policy.QualityPolicy(min_words=10, enabled_rules=["min_words"]), dedup=policy.DedupPolicy("exact", "global"), decontam=policy.DecontamPolicy(ngram_size=5, overlap_threshold=0.5, targets=["Quiz"]))
+    policy.save_policy(p, where[0])
+    spark.createDataFrame(rows, DOCS).write.parquet(where[1])
+    spark.createDataFrame([(1, "quiz", rows[3][1])], "item_id bigint, source string, text string").write.parquet(where[2])
+    return where
+
+
+def test_cli_decontaminates(spark, tmp_path):
+    from loamworks import cli
+
+    p, d, e = leaking(spark, tmp_path)
+    for args in (["run", p, d, str(tmp_path / "none")], ["run", p, d, str(tmp_path / "none"), "--evaluation", d.replace("docs", "other")]):
+        spark.createDataFrame([(1, "else", "x y z")], "item_id bigint, source string, text string").write.mode("overwrite").parquet(str(tmp_path / "other"))
+        with pytest.raises(ValueError, match="evaluation"):
+            cli.main(args)
+    assert not (tmp_path / "none").exists()
+    out = str(tmp_path / "out")
+    assert cli.main(["run", p, d, out, "--evaluation", e]) == 0
+    assert ids(spark.read.json(f"{out}/data")) == [0, 1, 2]
+    with pytest.raises(ValueError, match="evaluation"):
+        cli.main(["reproduce", f"{out}/manifest.json", d, str(tmp_path / "again")])
+    assert cli.main(["reproduce", f"{out}/manifest.json", d, str(tmp_path / "again"), "--evaluation", e]) == 0
+    assert ids(spark.read.json(str(tmp_path / "again"))) == [0, 1, 2]
+
+
 def test_pipeline(spark, tmp_path):
     for bad in ({}, {"pipeline": {}}, {"pipeline": {"blocks": [{"type": "x", "name": "y"}]}}, {"pipeline": {"blocks": [{"type": "filter", "name": "y"}]}}):
         with pytest.raises(ValueError):
