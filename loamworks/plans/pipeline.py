@@ -6,8 +6,9 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loamworks.operators import annotate, budget, dedup, masking, minhash, quality, slices, urls
+from loamworks.operators import annotate, budget, decontam, dedup, masking, minhash, quality, semantic, slices, urls
 
 TYPES = ("reader", "filter", "mapper", "dedup", "decontam", "writer", "stats")
 Block = Callable[..., DataFrame]
@@ -54,6 +55,32 @@ def _write(df: DataFrame, **params) -> DataFrame:
     return df
 
 
+def _table(df: DataFrame, given: DataFrame | str) -> DataFrame:
+    return df.sparkSession.read.parquet(given) if isinstance(given, str) else given
+
+
+def _semantic(df: DataFrame, embeddings: DataFrame | str, id_col: str = "doc_id", embedding_id: str | None = None, **params) -> DataFrame:
+    """``embeddings``: a data frame or the path of a Parquet table. Documents without an embedding are kept."""
+    rows = _table(df, embeddings).withColumnRenamed(embedding_id or id_col, id_col).join(df.select(id_col), id_col, "left_semi")
+    dropped = semantic.semantic_dedup(rows, id_col=id_col, **params).where("NOT kept").select(F.col("node").alias(id_col))
+    return df.join(dropped, id_col, "left_anti")
+
+
+def _ngram_overlap(df: DataFrame, index: DataFrame | str | None = None, evaluation: DataFrame | str | None = None, id_col: str = "doc_id", text: str = "text", **params) -> DataFrame:
+    """``index``: gram, eval_source, or ``evaluation``: item_id, source, text; data frames or paths of Parquet tables."""
+    config = decontam.DecontamConfig(**params)
+    if (index is None) == (evaluation is None):
+        raise ValueError("decontam needs either an index or an evaluation table")
+    grams = _table(df, index) if index is not None else decontam.build_index(_table(df, evaluation), config)
+    return decontam.decontaminate(df, grams, config, id_col, text)
+
+
+def _extract_text(df: DataFrame, html: str = "html", **params) -> DataFrame:
+    from loamworks.sources.html import extract_text
+
+    return extract_text(df, html, **params)
+
+
 def default_registry() -> Registry:
     r = Registry()
     for fmt in ("parquet", "json", "csv", "orc", "text"):
@@ -68,8 +95,11 @@ def default_registry() -> Registry:
     r.register("mapper", "token_count", annotate.with_token_count)
     r.register("mapper", "pii_mask", masking.mask_addresses)
     r.register("mapper", "slices", slices.assign_slices)
+    r.register("mapper", "extract_text", _extract_text)
     r.register("dedup", "exact", dedup.exact_dedup)
     r.register("dedup", "minhash", minhash.minhash_dedup)
+    r.register("dedup", "semantic", _semantic)
+    r.register("decontam", "ngram_overlap", _ngram_overlap)
     r.register("stats", "slices", lambda df: slices.slice_stats(df))
     r.register("writer", "jsonl", _write)
     r.register("filter", "budget", budget.within_budget)
@@ -99,7 +129,7 @@ def load_config(path: str) -> dict:
 
 
 def run_pipeline(spark: SparkSession, config: dict, df: DataFrame | None = None, registry: Registry | None = None) -> DataFrame:
-    """Chain the blocks; the first reads, unless a data frame is given. Nothing runs before the result is used, but for writers."""
+    """Chain the blocks; the first reads, unless a data frame is given. Nothing runs before the result is used, but for writers and semantic deduplication."""
     registry = registry or default_registry()
     for b in validate(config, registry):
         block, params = registry.get(b["type"], b["name"]), b.get("params") or {}

@@ -432,6 +432,23 @@ def test_pipeline(spark, tmp_path):
     assert [r["token_count"] for r in pipeline.run_pipeline(spark, config).collect()] == [3]
 
 
+def test_pipeline_blocks_with_tables(spark, tmp_path):
+    page = "<html><body><p>{} " + "real words " * 20 + "</p></body></html>"
+    leak = "one two three four five six seven eight"
+    spark.createDataFrame([(0, page.format("a")), (1, page.format("b")), (2, page.format(leak)), (3, page.format("d"))], "doc_id bigint, page string").write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<double>").write.parquet(str(tmp_path / "v"))
+    spark.createDataFrame([(1, "quiz", leak)], "item_id bigint, source string, text string").write.parquet(str(tmp_path / "e"))
+    overlap = {"type": "decontam", "name": "ngram_overlap", "params": {"evaluation": str(tmp_path / "e"), "n": 5, "threshold": 0.05}}
+    blocks = [{"type": "mapper", "name": "extract_text", "params": {"html": "page"}}, {"type": "dedup", "name": "semantic", "params": {"embeddings": str(tmp_path / "v"), "embedding_id": "vec_id"}}, overlap]
+    df = spark.read.parquet(str(tmp_path / "d"))
+    assert ids(pipeline.run_pipeline(spark, {"pipeline": {"blocks": blocks[:2]}}, df)) == [0, 2, 3]
+    got = pipeline.run_pipeline(spark, {"pipeline": {"blocks": blocks}}, df)
+    assert ids(got) == [0, 3] and all("real words" in r["text"] for r in got.collect())
+    overlap["params"] = {"n": 5}
+    with pytest.raises(ValueError):
+        pipeline.run_pipeline(spark, {"pipeline": {"blocks": blocks}}, df)
+
+
 def trials(spark, rows):
     return spark.createDataFrame(rows, "trial_id bigint, score double, compute_cost double, dataset_tokens bigint, contamination_rate double, diversity_score double")
 
