@@ -461,6 +461,20 @@ def test_mix(spark):
 # 9 reading level
 
 
+def test_every_trained_gram_keeps_its_values():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 300, 20_000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        if n:
+            keys = np.unique(np.concatenate([keys, keys[:100] ^ np.uint64(1 << 40), np.array([0, 1 << 63], np.uint64)]))
+        values = rng.random((len(keys), 3)).astype(np.float32)
+        table = reading.Table(keys, values)
+        assert (table(keys) == values).all()
+        # neither the slot nor the upper bits alone make a hit
+        strange = np.setdiff1d(np.concatenate([keys ^ np.uint64(1 << 41), rng.integers(0, 2**64, 1000, dtype=np.uint64)]), keys)
+        assert not table(strange).any()
+
+
 def test_isotonic():
     x, y = reading.isotonic(np.array([1.0, 2, 3, 4]), np.array([1.0, 3, 2, 4]))
     assert y.tolist() == [1.0, 2.5, 4.0] and x.tolist() == [1.0, 2.5, 4.0]
