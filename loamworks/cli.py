@@ -38,7 +38,7 @@ def main(argv: list[str] | None = None) -> int:
         p, spark = policy.load_policy(a.policy), _spark()
         curated = policy.execute(spark.read.parquet(a.input), p, spark.read.parquet(a.evaluation) if a.evaluation else None)
         tables.write_shards(curated.documents.drop("quality_scores"), f"{a.output}/data")
-        tables.save_manifest(tables.make_manifest(p.name, tables.shard_manifest(spark, f"{a.output}/data"), p.to_dict(), [a.input], seed=p.seed, code=release.run_stamp()["code"]), f"{a.output}/manifest.json")
+        tables.save_manifest(tables.make_manifest(p.name, tables.shard_manifest(spark, f"{a.output}/data"), p.to_dict(), [a.input], seed=p.seed, code=release.run_stamp()["code"], content=tables.content_hash(spark, f"{a.output}/data")), f"{a.output}/manifest.json")
     elif a.command == "verify":
         problems = [r.asDict() for r in release.verify_release(_spark(), a.path).collect()]
         print(json.dumps(problems, indent=2))

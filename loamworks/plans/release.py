@@ -76,7 +76,10 @@ def verify_release(spark: SparkSession, path: str, fmt: str = "json") -> DataFra
 
 
 def rebuild(spark: SparkSession, manifest: dict, read, out: str, evaluation: DataFrame | None = None) -> dict:
-    """Carry the manifest's policy out again on ``read(spark, input)`` and report whether the shards' contents agree."""
+    """Carry the manifest's policy out again on ``read(spark, input)`` and report whether the documents' ids and texts agree.
+
+    ``contents_match`` is null if the manifest has no hash of its contents.
+    """
     from loamworks.plans.policy import execute
 
     policy = Policy.from_dict(manifest["policy_config"])
@@ -84,7 +87,9 @@ def rebuild(spark: SparkSession, manifest: dict, read, out: str, evaluation: Dat
     tables.write_shards(curated.documents.select("doc_id", "text").orderBy("doc_id"), out)
     new = tables.shard_manifest(spark, out)
     old = sum(s["doc_count"] for s in manifest["shards"])
-    return {"policy_matches": manifest["policy_config_hash"] == policy.digest(), "documents": new.agg(F.sum("doc_count")).first()[0], "expected": old}
+    known = manifest.get("content_hash")
+    same = tables.content_hash(spark, out) == known if known else None
+    return {"policy_matches": manifest["policy_config_hash"] == policy.digest(), "contents_match": same, "documents": new.agg(F.sum("doc_count")).first()[0], "expected": old}
 
 
 def policy_diff(a: Policy, b: Policy, tolerance: float = 1e-6) -> list[dict]:

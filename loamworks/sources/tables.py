@@ -63,7 +63,16 @@ def shard_manifest(spark: SparkSession, path: str, fmt: str = "json") -> DataFra
     return joined.select("path", "checksum", F.coalesce("doc_count", F.lit(0)).alias("doc_count"), "size_bytes")
 
 
-def make_manifest(dataset_id: str, shards: DataFrame, policy: dict | None = None, inputs: list | None = None, fmt: str = "jsonl", seed: int = 42, stats: dict | None = None, code: dict | None = None) -> dict:
+def content_hash(spark: SparkSession, path: str, fmt: str = "json") -> str:
+    """Hash of the ids and texts of a dataset's documents, whatever their order, shards and other columns."""
+    rows = spark.read.schema("doc_id string, text string").json(path) if fmt == "json" else spark.read.format(fmt).load(path)
+    one = F.sha2(F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "text")), 256)
+    part = lambda k: F.sum(F.conv(F.substring(one, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    sums = rows.agg(F.count("*").alias("n"), *[part(k).alias(f"s{k}") for k in range(4)]).first()
+    return hashlib.sha256(":".join(map(str, sums)).encode()).hexdigest()
+
+
+def make_manifest(dataset_id: str, shards: DataFrame, policy: dict | None = None, inputs: list | None = None, fmt: str = "jsonl", seed: int = 42, stats: dict | None = None, code: dict | None = None, content: str | None = None) -> dict:
     """The manifest of a dataset. There are as many shard rows as files."""
     from loamworks.plans.policy import canonical
 
@@ -78,7 +87,7 @@ def make_manifest(dataset_id: str, shards: DataFrame, policy: dict | None = None
         "format": fmt,
         "shards": [r.asDict() for r in shards.orderBy("path").collect()],
         "stats": stats or {},
-    }
+    } | ({"content_hash": content} if content else {})
 
 
 def save_manifest(manifest: dict, path: str) -> None:

@@ -423,6 +423,22 @@ def test_cli_decontaminates(spark, tmp_path):
     assert ids(spark.read.json(str(tmp_path / "again"))) == [0, 1, 2]
 
 
+def test_rebuild_compares_contents(spark, tmp_path):
+    p = policy.Policy("p", min_language_score=0.5, quality=policy.QualityPolicy(min_words=10, enabled_rules=["min_words"]), dedup=policy.DedupPolicy("exact", "global"), decontam=policy.DecontamPolicy(enabled=False))
+    text = "the cat and the dog is in the house with it for this and that day number"
+    texts = [text + " " + " ".join(f"w{i}{k}" for k in range(30)) for i in range(3)]
+    df = docs(spark, *texts, dump="d")
+    data = str(tmp_path / "data")
+    tables.write_shards(policy.execute(df, p).documents.drop("quality_scores"), data, per_shard=1)
+    manifest = tables.make_manifest("p", tables.shard_manifest(spark, data), p.to_dict(), content=tables.content_hash(spark, data))
+    same = release.rebuild(spark, manifest, lambda s, _: df, str(tmp_path / "same"))
+    other = release.rebuild(spark, manifest, lambda s, _: docs(spark, *texts[:2], texts[2] + " more", dump="d"), str(tmp_path / "other"))
+    assert same["contents_match"] is True and other["contents_match"] is False
+    assert same["documents"] == other["documents"] == same["expected"] == 3
+    del manifest["content_hash"]
+    assert release.rebuild(spark, manifest, lambda s, _: df, str(tmp_path / "old"))["contents_match"] is None
+
+
 def test_pipeline(spark, tmp_path):
     for bad in ({}, {"pipeline": {}}, {"pipeline": {"blocks": [{"type": "x", "name": "y"}]}}, {"pipeline": {"blocks": [{"type": "filter", "name": "y"}]}}):
         with pytest.raises(ValueError):
