@@ -95,6 +95,31 @@ def test_half_a_question_with_a_replaced_word_at_any_place():
         assert sorted(leaks.search_shard(texts, questions)) == wanted
 
 
+def test_tags_of_any_length_and_prose_between_brackets(spark):
+    w = QUESTION.split()
+    for size in (100, 400, 5000):
+        tag = '<i data-x="' + "k9 " * (size // 3) + '">'
+        marked = " ".join(f"{tag}{x}" if k % 4 == 0 else x for k, x in enumerate(w))
+        between = "if a <b " + QUESTION + " " + "more words " * (size // 10) + "> c"
+        found = leaks.find_leaks(docs(spark, marked, between, "<!-- " * 2000 + marked), items(spark))
+        assert {r["doc_id"] for r in leaks.leaked_items(found).collect()} == {0, 1, 2} - ({1} if size == 100 else set())
+    assert leaks.words("a <!-- b --> c <!-- d") == ["a", "c", "d"]
+    with pytest.raises(ValueError, match="bytes"):
+        leaks.find_leaks(docs(spark, QUESTION), items(spark), leaks.LeakConfig(most_question_bytes=10))
+
+
+def test_a_common_run_of_a_short_question():
+    questions = leaks.Questions([(1, "one of the"), (2, "one of the two or three")], leaks.LeakConfig())
+    got = leaks.search_shard(["one of the " * 3000, "one of two or three"], questions)
+    assert {(t, q) for t, q, *_ in got} == {(0, 0), (0, 1), (1, 1)} or {(t, q) for t, q, *_ in got} >= {(0, 0), (1, 1)}
+
+
+def test_local_alignment():
+    q = np.arange(2, 22)
+    assert leaks.align(q, np.concatenate([[1, 1], q[3:9], [1], q[10:15], [1]])) == (11, 1, 2, 14)
+    assert leaks.align(q, np.concatenate([q[:5], q[6:12]]))[:2] == (11, 1) and leaks.align(q, np.array([1, 1]))[0] == 0
+
+
 def test_best_window_equals_trying_all():
     def most(q, p, faults):
         rows = {(i, j): 0 for i in range(len(q) + 1) for j in range(len(p) + 1)}
