@@ -57,9 +57,15 @@ def p4_survivors(spark, sf_dir):
     return representatives.surviving_records(*_t("doc_records", "source_catalog")(spark, sf_dir))
 
 
+_P5 = near.NearDuplicateConfig(shingle=3, threshold=0.7)
+
+
 def p5_found(spark, sf_dir):
-    found = near.near_duplicates(table(spark, sf_dir, "documents"), near.NearDuplicateConfig(shingle=3, threshold=0.7))
-    return near.pairs(found)
+    return near.pairs(near.near_duplicates(table(spark, sf_dir, "documents"), _P5))
+
+
+def p5_members(spark, sf_dir):
+    return near.members(near.near_duplicates(table(spark, sf_dir, "documents"), _P5))
 
 
 def p5_groups(spark, sf_dir):
@@ -108,7 +114,7 @@ def p9_found(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_removal_spans, p2_token_budget, p2_document_tokens, p3_found, p3_redacted, p4_found, p4_survivors, p5_found, p5_groups, p6_text_statistics, p6_found,
+        p1_found, p1_removal_spans, p2_token_budget, p2_document_tokens, p3_found, p3_redacted, p4_found, p4_survivors, p5_found, p5_members, p5_groups, p6_text_statistics, p6_found,
         p7_packs, p7_pack_report, p8_mix, p8_mix_report, p9_reading_levels, p9_found,
     )
 }

@@ -318,6 +318,19 @@ def test_near_duplicates_against_brute_force(spark, n, t):
     assert all(g[a]["cluster_id"] == g[b]["cluster_id"] for a, b in got) and g[10]["copies"] == 41
 
 
+def test_hot_segments_are_split(spark):
+    rng = random.Random(11)
+    base = sentence(rng, 60, 4000).split()
+    texts = [" ".join([*base[:k % 60], f"n{k}", *base[k % 60 + 1 :]]) for k in range(150)] + [sentence(rng, 60, 4000) for _ in range(50)]
+    want = brute_pairs(texts, 3, 0.7)
+    small = near.NearDuplicateConfig(3, 0.7, bucket_entries=500, hot_entries=20)
+    found = near.near_duplicates(docs(spark, *texts), small)
+    got = [tuple(r) for r in near.pairs(found).collect()]
+    assert set(got) == want and len(got) == len(want)
+    m = {r["doc_id"]: r for r in near.members(found).collect()}
+    assert len(m) == 200 and all(m[i]["links"] == sum(i in p for p in want) for i in range(200)) and m[0]["expanded"]
+
+
 def test_setjoin_finds_all_pairs_at_every_size():
     rng = np.random.default_rng(5)
     sets = []
