@@ -2,48 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamworks.operators.prefix import running_total_by_order
 from loamworks.session import materialize
 
 
+def _tokens(tokens: str) -> Column:
+    return F.coalesce(F.col(tokens), F.lit(0)).cast("bigint")
+
+
+def _before(df: DataFrame, order: str, end) -> DataFrame:
+    return df if end is None else df.where(F.col(order) < F.lit(end))
+
+
+def budget_end(df: DataFrame, most: int, order: str = "doc_id", tokens: str = "token_count", counted: Column | None = None):
+    """The place of the first document that would exceed ``most`` tokens, after all ``counted`` ones before it; None if there is none.
+
+    Only the order and two numbers of each document are moved; the selection is then a comparison with one value.
+    """
+    slim = df.select(F.col(order).alias("o"), _tokens(tokens).alias("n"), (F.lit(True) if counted is None else counted).alias("c"))
+    placed = running_total_by_order(slim, ["o"], F.when(F.col("c"), F.col("n")).otherwise(F.lit(0).cast("bigint")), "_ahead")
+    return placed.where(F.col("_ahead") + F.col("n") > most).agg(F.min("o").alias("e")).first()["e"]
+
+
 def within_budget(df: DataFrame, most: int, order: str = "doc_id", tokens: str = "token_count") -> DataFrame:
     """The documents before the first one that would exceed ``most`` tokens in all."""
-    n = F.coalesce(F.col(tokens), F.lit(0)).cast("bigint")
-    placed = running_total_by_order(df, [order], n, "_ahead")
-    return placed.where(F.col("_ahead") + n <= most).drop("_ahead")
+    return _before(df, order, budget_end(df, most, order, tokens))
 
 
 def until_target(df: DataFrame, target: int, order: str = "doc_id", tokens: str = "token_count") -> DataFrame:
     """Documents in order until the total reaches ``target``; the one that reaches it is the last."""
-    placed = running_total_by_order(df, [order], F.coalesce(F.col(tokens), F.lit(0)).cast("bigint"), "_ahead")
-    first = F.col("_ahead") < target
-    return placed.where(first).drop("_ahead")
+    placed = running_total_by_order(df.select(F.col(order).alias("o"), _tokens(tokens).alias("n")), ["o"], F.col("n"), "_ahead")
+    return _before(df, order, placed.where(F.col("_ahead") >= target).agg(F.min("o").alias("e")).first()["e"])
 
 
-def capped(df: DataFrame, caps: dict[str, int], order: str = "doc_id", tokens: str = "token_count", tags: str = "slice_tags") -> DataFrame:
-    """Reject a document if any of its tags has reached its cap; accepted documents count for all their tags.
+def full_points(df: DataFrame, caps: dict[str, int], order: str = "doc_id", tokens: str = "token_count", tags: str = "slice_tags") -> dict[str, object]:
+    """The place of the document that fills each capped tag (None: full from the start); tags that never fill up are left out.
 
-    Equal to going through the documents one by one. Once a tag is full it stays full, so the outcome follows from the place
-    at which each tag fills up. These places are found one after another: the earliest among the tags still open, given the
-    tags already full. There are as many rounds as caps that bind, each a distributed running total.
+    Equal to going through the documents one by one. Once a tag is full it stays full, so the outcome follows from these places. If
+    no document has two capped tags, one running total by tag gives them all. Else they are found one after another: the earliest
+    among the tags still open, given the tags already full; there are as many rounds as caps that bind.
     """
-    n = F.coalesce(F.col(tokens), F.lit(0)).cast("bigint")
-    slim = df.select(F.col(order).alias("o"), n.alias("n"), F.filter(tags, lambda t: t.isin(*caps)).alias("t")).where(F.size("t") > 0)
+    slim = df.select(F.col(order).alias("o"), _tokens(tokens).alias("n"), F.array_distinct(F.filter(tags, lambda t: t.isin(*caps))).alias("t")).where(F.size("t") > 0)
     slim = materialize(slim)
-    full: dict[str, object] = {tag: None for tag, cap in caps.items() if cap <= 0}
+    cap = F.try_element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("tag"))
+    full: dict[str, object] = {tag: None for tag, most in caps.items() if most <= 0}
+
+    def reached(rows: DataFrame) -> DataFrame:
+        placed = running_total_by_order(rows, ["o"], F.col("n"), "_ahead", group=["tag"])
+        return placed.where(F.col("_ahead") + F.col("n") >= cap).groupBy("tag").agg(F.min("o").alias("o"))
+
+    if slim.where(F.size("t") > 1).isEmpty():
+        rows = slim.select("o", "n", F.col("t")[0].alias("tag"))
+        return full | {r["tag"]: r["o"] for r in reached(rows).collect() if r["tag"] not in full}
     while len(full) < len(caps):
         open_rows = slim.where(_accepted(F.col("t"), F.col("o"), full)).select("o", "n", F.explode("t").alias("tag"))
-        open_rows = open_rows.where(~F.col("tag").isin(*full) if full else F.lit(True))
-        placed = running_total_by_order(open_rows, ["o"], F.col("n"), "_ahead", group=["tag"])
-        cap = F.try_element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("tag"))
-        first = placed.where(F.col("_ahead") + F.col("n") >= cap).orderBy("o", "tag").select("tag", "o").first()
+        first = reached(open_rows.where(~F.col("tag").isin(*full) if full else F.lit(True))).orderBy("o", "tag").first()
         if first is None:
             break
         full[first["tag"]] = first["o"]
-    return df.where(_accepted(F.col(tags), F.col(order), full))
+    return full
+
+
+def capped(df: DataFrame, caps: dict[str, int], order: str = "doc_id", tokens: str = "token_count", tags: str = "slice_tags") -> DataFrame:
+    """Reject a document if any of its tags has reached its cap; accepted documents count for all their tags."""
+    return df.where(_accepted(F.col(tags), F.col(order), full_points(df, caps, order, tokens, tags)))
 
 
 def _accepted(tags: Column, order: Column, full: dict[str, object]) -> Column:
@@ -55,15 +80,19 @@ def _accepted(tags: Column, order: Column, full: dict[str, object]) -> Column:
     return ok
 
 
+def selection(df: DataFrame, most: int, caps: dict[str, int] | None = None, order: str = "doc_id", tokens: str = "token_count", tags: str = "slice_tags") -> tuple[Column, object]:
+    """The condition of the documents that budget and caps select, and the place of the document that ends the selection (None: none does).
+
+    A document, accepted or not, that would exceed the budget ends it.
+    """
+    ok = _accepted(F.col(tags), F.col(order), full_points(df, caps, order, tokens, tags)) if caps else F.lit(True)
+    end = budget_end(df, most, order, tokens, ok)
+    return (ok if end is None else ok & (F.col(order) < F.lit(end))), end
+
+
 def capped_within_budget(df: DataFrame, caps: dict[str, int], most: int, order: str = "doc_id", tokens: str = "token_count", tags: str = "slice_tags") -> DataFrame:
-    """Caps and a budget together: a document, accepted or not, that would exceed the budget ends the selection."""
-    n = F.coalesce(F.col(tokens), F.lit(0)).cast("bigint")
-    accepted = capped(df.select(order, F.col(tokens), F.col(tags)), caps, order, tokens, tags).select(order).withColumn("_in", F.lit(True))
-    marked = df.join(accepted, order, "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
-    placed = materialize(running_total_by_order(marked, [order], F.when(F.col("_in"), n).otherwise(F.lit(0).cast("bigint")), "_ahead"))
-    end = placed.where(F.col("_ahead") + n > most).agg(F.min(order).alias("e")).first()["e"]
-    kept = placed.where("_in") if end is None else placed.where(F.col("_in") & (F.col(order) < F.lit(end)))
-    return kept.drop("_in", "_ahead")
+    """Caps and a budget together."""
+    return df.where(selection(df, most, caps, order, tokens, tags)[0])
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -72,6 +101,22 @@ def uniform(key: Column, seed: int) -> Column:
     return (digits + 1) / (2.0**48 + 1)
 
 
+def first_rows(df: DataFrame, keys: dict[str, Column], n: int) -> DataFrame:
+    """The ``n`` rows of least keys (unique, not null), as ``orderBy(keys).limit(n)`` but without bringing them to one place.
+
+    Ranks over ranges of the keys find the last key; the rows are those up to it.
+    """
+    if n <= 0:
+        return df.limit(0)
+    placed = running_total_by_order(df.select(*[c.alias(k) for k, c in keys.items()]), list(keys), F.lit(1), "_rank")
+    last = placed.where(F.col("_rank") == n - 1).first()
+    return df if last is None else df.where(_upto(keys, last))
+
+
+def _upto(keys: dict[str, Column], last) -> Column:
+    return F.struct(*[c.alias(k) for k, c in keys.items()]) <= F.struct(*[F.lit(last[k]).alias(k) for k in keys])
+
+
 def weighted_sample(df: DataFrame, n: int, weights: dict[str, float] | None = None, temperature: float = 1.0, seed: int = 42, id_col: str = "doc_id", tags: str = "slice_tags") -> DataFrame:
     """Draw ``n`` documents without replacement, with chances in proportion to their weight (Efraimidis and Spirakis).
 
@@ -82,14 +127,23 @@ def weighted_sample(df: DataFrame, n: int, weights: dict[str, float] | None = No
     for tag, value in reversed(list((weights or {}).items())):
         w = F.when(F.array_contains(tags, tag), F.lit(float(value) ** (1.0 / temperature))).otherwise(w)
     key = F.when(w > 0, -F.ln(uniform(F.col(id_col), seed)) / w).otherwise(F.lit(float("inf")))
-    drawn = df.where(F.size(tags) > 0).withColumn("sample_weight", w).withColumn("_key", key)
-    return drawn.orderBy("_key", id_col).limit(n).drop("_key")
+    drawn = df.where(F.size(tags) > 0).withColumn("sample_weight", w)
+    return first_rows(drawn, {"_key": key, "_id": F.col(id_col)}, n)
 
 
 def ratio_mix(df: DataFrame, ratios: dict[str, float], target: int, seed: int = 42, id_col: str = "doc_id", domain: str = "domain") -> DataFrame:
     """Per domain the ``int(target * ratio)`` documents of least hash, ``target`` documents at most in all."""
-    quota = F.try_element_at(F.create_map(*[F.lit(x) for k, r in ratios.items() for x in (k, int(target * r))]), F.col(domain))
-    rank = F.row_number().over(Window.partitionBy(domain).orderBy(uniform(F.col(id_col), seed), id_col))
-    most = max([0, *(int(target * r) for r in ratios.values())])
-    kept = df.withColumn("_rank", rank).where(F.col("_rank") <= most).where(F.col("_rank") <= quota)
-    return kept.orderBy(uniform(F.col(id_col), seed), id_col).limit(target).drop("_rank")
+    keys = {"_key": uniform(F.col(id_col), seed), "_id": F.col(id_col)}
+    quotas = {k: int(target * r) for k, r in ratios.items() if int(target * r) > 0}
+    if not quotas:
+        return df.limit(0)
+    named = df.where(F.col(domain).isin(*quotas)).select(F.col(domain).alias("_domain"), *[c.alias(k) for k, c in keys.items()])
+    quota = F.try_element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col("_domain"))
+    ranked = running_total_by_order(named, ["_key", "_id"], F.lit(1), "_rank", group=["_domain"])
+    # one row per domain that has more than its quota
+    last = {r["_domain"]: r for r in ranked.where(F.col("_rank") == quota - 1).collect()}
+    ok = F.lit(False)
+    for name in quotas:
+        ok = ok | ((F.col(domain) == name) & (_upto(keys, last[name]) if name in last else F.lit(True)))
+    kept = df.where(ok)
+    return first_rows(kept, keys, target) if sum(quotas.values()) > target else kept

@@ -1,7 +1,8 @@
 """Overlap of documents with evaluation sets by word n-grams, and what to do about it.
 
 The index holds one row per distinct n-gram hash with the source that registered it first. It meets the exploded hashes of
-the documents in an equi-join; whether that is broadcast is left to the planner, which knows its size.
+the documents in an equi-join. An index of at most ``broadcast_rows`` rows, which are counted, is sent to all workers, so that the documents'
+n-grams stay where they are; a larger one meets them by a shuffle.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ class DecontamConfig:
     mode: str = "drop"
     sample: int = 10
     redact_all: bool = False
+    broadcast_rows: int = 1_000_000
 
 
 def _tokens(column: str):
@@ -41,13 +43,13 @@ def overlaps(docs: DataFrame, index: DataFrame, config: DecontamConfig = Deconta
     The score is the number of distinct n-grams matched over the number of all n-grams of the document. The sample, of the
     first ``sample`` matches (all with ``redact_all``), has the n-grams themselves, lower-cased.
     """
+    known = index if index.limit(config.broadcast_rows + 1).count() > config.broadcast_rows else F.broadcast(index)
     hashed = docs.select(F.col(id_col), ngram_hashes(_tokens(text), config.n).alias("_grams"))
     total = F.size("_grams")
-    hits = hashed.select(id_col, total.alias("total"), F.posexplode("_grams").alias("pos", "gram")).join(index, "gram")
+    hits = hashed.select(id_col, total.alias("total"), F.posexplode("_grams").alias("pos", "gram")).join(known, "gram")
     sample = F.array_sort(F.collect_list("pos")) if config.redact_all else F.slice(F.array_sort(F.collect_list("pos")), 1, config.sample)
-    by = hits.groupBy(id_col).agg(
-        (F.count_distinct("gram") / F.max("total")).alias("overlap_score"), F.count_distinct("gram").alias("matched"), F.min_by("eval_source", "pos").alias("eval_source"), sample.alias("_pos")
-    )
+    matched = F.size(F.collect_set("gram")).cast("bigint")
+    by = hits.groupBy(id_col).agg((matched / F.max("total")).alias("overlap_score"), matched.alias("matched"), F.min_by("eval_source", "pos").alias("eval_source"), sample.alias("_pos"))
     texts = docs.select(id_col, F.col(text).alias("_text")).join(by, id_col)
     found = bound(ngrams(_tokens("_text"), config.n), lambda all_: F.transform("_pos", lambda p: F.element_at(all_, p + 1)))
     return texts.withColumn("matched_ngrams", found).drop("_text", "_pos")
@@ -60,9 +62,13 @@ def decontaminate(docs: DataFrame, index: DataFrame, config: DecontamConfig = De
     ``drop`` removes; ``tag`` marks; ``downweight`` sets the weight to 1 - overlap, at least 0.1; ``redact`` replaces the
     sampled n-grams where the text has them literally.
     """
+    return with_flags(docs, overlaps(docs, index, config, id_col, text).where(F.col("overlap_score") >= config.threshold), config, id_col, text)
+
+
+def with_flags(docs: DataFrame, flagged: DataFrame, config: DecontamConfig = DecontamConfig(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``decontaminate`` with the documents' overlaps at hand (rows of ``overlaps`` that reach the threshold)."""
     if config.mode not in MODES:
         raise ValueError(f"unknown mode: {config.mode}")
-    flagged = overlaps(docs, index, config, id_col, text).where(F.col("overlap_score") >= config.threshold)
     if config.mode == "drop":
         return docs.join(flagged.select(id_col), id_col, "left_anti").withColumn("contamination", F.lit(None).cast(_FLAG)).withColumn("sample_weight", F.lit(1.0))
     flag = F.struct(F.lit(config.mode).alias("action"), "overlap_score", "eval_source", "matched_ngrams")
@@ -85,11 +91,14 @@ def audit(docs: DataFrame, index: DataFrame, config: DecontamConfig = DecontamCo
 
 
 def contamination_stats(docs: DataFrame, index: DataFrame, config: DecontamConfig = DecontamConfig(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``eval_source`` (null: all), documents checked, contaminated, and the rate."""
+    """``eval_source`` (null: all), documents checked, contaminated, the rate, and the number by action: dropped, tagged, downweighted, redacted."""
     flagged = overlaps(docs, index, config, id_col, text).where(F.col("overlap_score") >= config.threshold)
-    by = flagged.rollup("eval_source").agg(F.count("*").alias("docs_contaminated"))
-    by = by.withColumn("docs_checked", F.lit(docs.count()).cast("bigint"))
-    return by.select("eval_source", "docs_checked", "docs_contaminated", (F.col("docs_contaminated") / F.greatest(F.lit(1), F.col("docs_checked"))).alias("contamination_rate"))
+    # documents are few to many, sources a handful: one row of the count meets them
+    by = flagged.rollup("eval_source").agg(F.count("*").alias("docs_contaminated")).withColumn("_k", F.lit(1))
+    by = by.join(docs.agg(F.count("*").alias("docs_checked")).withColumn("_k", F.lit(1)), "_k")
+    rate = F.col("docs_contaminated") / F.greatest(F.lit(1), F.col("docs_checked"))
+    done = [F.when(F.lit(m == config.mode), F.col("docs_contaminated")).otherwise(F.lit(0)).cast("bigint").alias(n) for m, n in zip(MODES, ("dropped", "tagged", "downweighted", "redacted"), strict=True)]
+    return by.select("eval_source", "docs_checked", "docs_contaminated", rate.alias("contamination_rate"), *done)
 
 
 def flagged_ids(flagged: DataFrame, path: str, id_col: str = "doc_id") -> None:

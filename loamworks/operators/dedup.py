@@ -1,7 +1,7 @@
 """Exact duplicates, keep rules within clusters, and scoped deduplication.
 
-Every rule that depends on an order takes it as a column (``order``, unique); ranks keep the best rows of each input
-partition before the shuffle, and cluster sizes are partial aggregates, so a cluster of any size is safe.
+Every rule that depends on an order takes it as a column (``order``, unique). The winners are partial aggregates over ids, hashes
+and scores, so a cluster of any size is safe and no text is shuffled to find them.
 """
 
 from __future__ import annotations
@@ -35,43 +35,45 @@ def mark_exact(df: DataFrame, order: str = "doc_id", scope: str = "global", norm
 
 
 def exact_dedup(df: DataFrame, order: str = "doc_id", scope: str = "global", normalize: bool = True, text: str = "text", dump: str = "dump") -> DataFrame:
-    """Keep the first document of each text in a scope."""
-    hashed = with_scope(df, scope, dump).withColumn("content_hash", content_hash(F.coalesce(F.col(text), F.lit("")), normalize))
-    rank = F.row_number().over(Window.partitionBy("dedup_scope", "content_hash").orderBy(order))
-    kept = hashed.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """Keep the first document of each text in a scope. Hashes and ids meet, not texts; ``order`` must be unique."""
+    scoped = with_scope(df, scope, dump)
+    hashed = scoped.select("dedup_scope", order, content_hash(F.coalesce(F.col(text), F.lit("")), normalize).alias("content_hash"))
+    first = hashed.groupBy("dedup_scope", "content_hash").agg(F.min(order).alias(order)).select(order, "content_hash")
+    kept = scoped.drop("content_hash").join(first, order)
     return kept.withColumn("dedup_cluster_id", F.substring("content_hash", 1, 16)).withColumn("dedup_method", F.lit("exact"))
 
 
-def _keep_score(rule: str) -> Column | None:
-    """What a rule prefers most of; None for the first."""
+def keep_score(rule: str, columns: list[str]) -> Column:
+    """What a rule prefers most of (for ``first`` a constant); columns that are missing count as null."""
+    has = lambda c, kind: F.col(c) if c in columns else F.lit(None).cast(kind)
     return {
-        "first": lambda: None,
+        "first": lambda: F.lit(0),
         "longest": lambda: F.length("text"),
-        "most_tokens": lambda: F.coalesce(F.col("token_count"), F.size(words(F.coalesce(F.col("text"), F.lit(""))))),
-        "highest_quality": lambda: F.coalesce(F.col("mean_quality"), F.col("quality_score"), F.lit(0.0)),
-        "lowest_toxicity": lambda: -F.coalesce(F.col("toxicity_score"), F.lit(0.0)),
-        "most_recent": lambda: F.coalesce(F.col("timestamp").cast("timestamp"), F.timestamp_seconds(F.lit(0))),
+        "most_tokens": lambda: F.coalesce(has("token_count", "bigint"), F.size(words(F.coalesce(F.col("text"), F.lit(""))))),
+        "highest_quality": lambda: F.coalesce(has("mean_quality", "double"), has("quality_score", "double"), F.lit(0.0)),
+        "lowest_toxicity": lambda: -F.coalesce(has("toxicity_score", "double"), F.lit(0.0)),
+        "most_recent": lambda: F.coalesce(has("timestamp", "timestamp").cast("timestamp"), F.timestamp_seconds(F.lit(0))),
     }[rule]()
 
 
 KEEP_RULES = ("first", "longest", "most_tokens", "highest_quality", "lowest_toxicity", "most_recent")
 
 
-def keep_order(rule: str, order: str, score: Column | None = None) -> list[Column]:
-    """Sort keys of a keep rule: ties keep the last document, except for ``first``."""
+def keep_one(df: DataFrame, rule: str = "first", cluster: str = "dedup_cluster_id", order: str = "doc_id", score: Column | None = None, scope: str | None = None) -> DataFrame:
+    """One document per cluster by a keep rule, with ``cluster_size`` and ``kept_id``; a missing cluster is the document's own.
+
+    ``scope``: a column within whose values clusters count apart. Ties keep the last document, except for ``first``. Only order,
+    cluster and score are ranked; the rows of the winners are then fetched.
+    """
     if rule not in KEEP_RULES:
         raise ValueError(f"unknown keep rule: {rule}")
-    score = score if score is not None else _keep_score(rule)
-    return [F.col(order).asc()] if rule == "first" else [score.desc_nulls_last(), F.col(order).desc()]
-
-
-def keep_one(df: DataFrame, rule: str = "first", cluster: str = "dedup_cluster_id", order: str = "doc_id", score: Column | None = None) -> DataFrame:
-    """One document per cluster by a keep rule, with ``cluster_size`` and ``kept_id``; a missing cluster is the document's own."""
-    own = df.withColumn("_cluster", F.coalesce(F.col(cluster).cast("string"), F.concat(F.lit("#"), F.col(order).cast("string"))))
-    size = own.groupBy("_cluster").agg(F.count("*").alias("cluster_size"))
-    rank = F.row_number().over(Window.partitionBy("_cluster").orderBy(*keep_order(rule, order, score)))
-    kept = own.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return kept.join(size, "_cluster").withColumn("kept_id", F.col(order)).drop("_cluster")
+    score = score if score is not None else keep_score(rule, df.columns)
+    own = F.coalesce(F.col(cluster).cast("string"), F.concat(F.lit("#"), F.col(order).cast("string")))
+    slim = df.select(F.col(order).alias("o"), own.alias("c"), (F.col(scope) if scope else F.lit(None).cast("string")).alias("s"), score.alias("v"))
+    # the greatest score and then the last place, or the first place; partial aggregates, so a cluster of any size is safe
+    best = F.min(F.col("o")) if rule == "first" else F.max(F.struct("v", "o"))["o"]
+    kept = slim.groupBy("s", "c").agg(best.alias(order), F.count("*").alias("cluster_size"))
+    return df.join(kept.select(order, "cluster_size"), order).withColumn("kept_id", F.col(order))
 
 
 def raw_dedup(df: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:

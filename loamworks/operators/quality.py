@@ -113,9 +113,10 @@ def quality_filter(df: DataFrame, config: QualityConfig = QualityConfig(), text:
     return with_quality(df, config, text).where(F.size("quality_failed") == 0)
 
 
-def mean_quality(scores: str = "quality_scores") -> Column:
-    """Mean of the twelve scores; word counts take part as they are."""
-    return sum((F.col(f"{scores}.{r}") for r in RULES), F.lit(0.0)) / len(RULES)
+def mean_quality(scores: str = "quality_scores", rules: tuple[str, ...] = ()) -> Column:
+    """Mean of the scores of the enabled rules (none named: all twelve); word counts take part as they are, once for each rule that uses them."""
+    rules = rules or RULES
+    return sum((F.col(f"{scores}.{r}") for r in rules), F.lit(0.0)) / len(rules)
 
 
 def paragraph_repetition(text: Column) -> Column:

@@ -14,23 +14,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamworks.functions.text import ngram_hashes, words
+from loamworks.operators.dedup import with_scope
 from loamworks.session import materialize
 
 
-def greedy_keep(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """``node, kept``. ``nodes``: node; ``edges``: a < b. Each round settles at least the earliest open node of every chain."""
+def greedy_keep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, kept``. ``nodes``: node; ``edges``: a < b.
+
+    Each round settles at least the earliest open node of every chain, so it ends; edges of settled later nodes are set aside, so
+    the work of a round shrinks with what is left. There are as many rounds as the longest chain of documents that depend on each other.
+    """
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    all_nodes = nodes.select("node").distinct()
     # nodes without an earlier neighbour are kept
-    state = materialize(nodes.select("node").distinct().join(edges.select(F.col("b").alias("node")).distinct().withColumn("_later", F.lit(True)), "node", "left").select("node", F.when(F.col("_later").isNull(), F.lit(True)).alias("kept")))
-    for _ in range(rounds):
-        if state.where("kept IS NULL").isEmpty():
-            return state
-        told = edges.join(state.select(F.col("node").alias("a"), F.col("kept").alias("_k")), "a")
-        votes = told.groupBy(F.col("b").alias("node")).agg(F.max(F.coalesce("_k", F.lit(False))).alias("any_kept"), F.count_if(F.col("_k").isNull()).alias("open"))
-        new = state.join(votes, "node", "left")
-        decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("any_kept"), F.lit(False)).when(F.col("open") == 0, F.lit(True))
-        state = materialize(new.select("node", decided.alias("kept")))
-    raise RuntimeError(f"not settled in {rounds} rounds")
+    later = edges.select(F.col("b").alias("node")).distinct()
+    known = all_nodes.union(edges.select("a")).distinct()
+    settled = materialize(known.join(later, "node", "left_anti").withColumn("kept", F.lit(True)))
+    done, live = [settled], edges
+    while not live.isEmpty():
+        told = live.join(settled.select(F.col("node").alias("a"), F.col("kept").alias("_k")), "a", "left")
+        votes = told.groupBy(F.col("b").alias("node")).agg(F.max(F.coalesce("_k", F.lit(False))).alias("hit"), F.count_if(F.col("_k").isNull()).alias("open"))
+        settled = materialize(votes.where("hit OR open = 0").select("node", (~F.col("hit")).alias("kept")))
+        # an edge whose earlier node is settled, or whose later node is, says nothing more
+        live = materialize(told.where("_k IS NULL").join(settled.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"))
+        done.append(settled)
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return materialize(all_nodes.join(out, "node", "left").select("node", F.coalesce("kept", F.lit(True)).alias("kept")))
+
+
+def greedy_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, kept, cluster``: a kept node is its own cluster, a dropped one belongs to its earliest kept neighbour."""
+    state = greedy_keep(nodes, edges)
+    ends = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("node"))
+    near = ends.join(state.where("kept").select(F.col("node").alias("a")), "a").groupBy("node").agg(F.min("a").alias("_first"))
+    out = state.join(near, "node", "left")
+    return out.select("node", "kept", F.when(F.col("kept"), F.col("node")).otherwise(F.col("_first")).alias("cluster"))
 
 
 def similar_embeddings(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector: str = "embedding", block_rows: int = 4000) -> DataFrame:
@@ -135,10 +155,28 @@ def hyperplane_candidates(
     return found.where("a <> b").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
-def semantic_dedup(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector: str = "embedding", exact: bool = True) -> DataFrame:
+def semantic_pairs(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector: str = "embedding", exact: bool | None = None, most_exact: int = 200_000) -> DataFrame:
+    """``a, b, cosine``: by the index, or with ``exact`` by all pairs. Without a choice all pairs are compared up to ``most_exact`` rows, where that is cheap."""
+    if exact is None:
+        exact = df.count() <= most_exact
+    return similar_embeddings(df, threshold, id_col, vector) if exact else hyperplane_candidates(df, threshold, id_col, vector)
+
+
+def semantic_dedup(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector: str = "embedding", exact: bool | None = None) -> DataFrame:
     """``node, kept`` by the greedy rule over cosine similarity."""
-    pairs = similar_embeddings(df, threshold, id_col, vector) if exact else hyperplane_candidates(df, threshold, id_col, vector)
-    return greedy_keep(df.select(F.col(id_col).cast("bigint").alias("node")), pairs)
+    return greedy_keep(df.select(F.col(id_col).cast("bigint").alias("node")), semantic_pairs(df, threshold, id_col, vector, exact))
+
+
+def semantic_marks(df: DataFrame, order: str, scope: str = "global", threshold: float = 0.9, vector: str = "embedding", dump: str = "dump", exact: bool | None = None) -> DataFrame:
+    """``order, dedup_scope, dedup_dropped, dedup_cluster_id`` of rows with an embedding; a row is only like rows of its scope."""
+    scoped = with_scope(df, scope, dump).select(order, "dedup_scope", vector)
+    pairs = semantic_pairs(scoped, threshold, order, vector, exact)
+    if scope != "global":
+        of = lambda end: scoped.select(F.col(order).alias(end), F.col("dedup_scope").alias(f"s{end}"))
+        pairs = pairs.join(of("a"), "a").join(of("b"), "b").where("sa = sb").select("a", "b")
+    found = greedy_clusters(scoped.select(F.col(order).alias("node")), materialize(pairs.select("a", "b")))
+    out = scoped.select(order, "dedup_scope").join(found.withColumnRenamed("node", order), order)
+    return out.select(order, "dedup_scope", (~F.col("kept")).alias("dedup_dropped"), F.col("cluster").cast("string").alias("dedup_cluster_id"))
 
 
 def shingle_links(df: DataFrame, threshold: float = 0.8, n: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,6 +15,9 @@ from loamworks.operators import decontam as decon
 from loamworks.session import materialize
 
 
+# Names and defaults of the fields, so that policies of other tools can be read. The one difference: no targets are named by default.
+
+
 @dataclass
 class QualityPolicy:
     min_words: int = 50
@@ -109,7 +112,7 @@ def load_policy(path: str) -> Policy:
 
 @dataclass
 class Curated:
-    """The outcome of a policy: documents kept, and all documents that statistics count with what became of them."""
+    """The outcome of a policy: documents kept, and ids and figures of all documents that statistics count, with what became of them."""
 
     documents: DataFrame
     marked: DataFrame
@@ -133,7 +136,8 @@ def annotated(docs: DataFrame, policy: Policy, language: Callable[[Column], Colu
     known = {"language", "language_score"} <= set(docs.columns)
     out = annotate.language_filter(docs if known else annotate.with_language(docs, language), policy.language, policy.min_language_score)
     out = annotate.with_token_count(out, tokens)
-    out = quality.quality_filter(out, quality_config(policy.quality)).withColumn("mean_quality", quality.mean_quality())
+    config = quality_config(policy.quality)
+    out = quality.quality_filter(out, config).withColumn("mean_quality", quality.mean_quality(rules=config.rules))
     return slices.assign_slices(masking.mask_addresses(out))
 
 
@@ -150,58 +154,68 @@ def held_out(c: DecontamPolicy, evaluation: DataFrame | None) -> DataFrame:
     return items
 
 
-def execute(docs: DataFrame, policy: Policy, evaluation: DataFrame | None = None, order: str = "doc_id", embeddings: DataFrame | None = None, **scorers) -> Curated:
-    """Carry out a policy: filter, annotate, deduplicate, decontaminate, and cut to the budget and the caps.
-
-    ``evaluation``: item_id, source, text of held-out material; only the policy's targets count, if it names any (any case).
-    If decontamination is enabled, it is an error if there is none, or none of one of the targets.
-    Statistics count documents that deduplication or decontamination dropped, up to the document that ends the budget.
-    """
-    items = held_out(policy.decontam, evaluation) if policy.decontam.enabled else None
-    rows = materialize(annotated(docs, policy, **scorers))
-    d = policy.dedup
+def _marks(rows: DataFrame, d: DedupPolicy, order: str, seed: int, embeddings: DataFrame | None) -> DataFrame:
+    """order, dedup_scope, dedup_cluster_id, dedup_dropped by the method, where the first document of a cluster stays."""
     if d.method == "exact":
-        marks = dedup.mark_exact(rows, order, d.scope).select(order, "dedup_dropped", F.col("dedup_cluster_id").cast("string"))
+        marks = dedup.mark_exact(rows.select(order, "dump", "text"), order, d.scope)
     elif d.method == "minhash":
-        config = minhash.MinHashConfig(d.ngram_size, d.num_bands, d.rows_per_band, policy.seed)
-        marks = minhash.minhash_marks(rows, order, d.scope, config).select(order, "dedup_dropped", F.col("dedup_cluster_id").cast("string"))
+        marks = minhash.minhash_marks(rows.select(order, "dump", "text"), order, d.scope, minhash.MinHashConfig(d.ngram_size, d.num_bands, d.rows_per_band, seed))
     elif d.method == "semantic":
         if embeddings is None:
             raise ValueError("semantic deduplication needs embeddings")
-        kept = semantic.semantic_dedup(embeddings.join(rows.select(order), order, "left_semi"), id_col=order)
-        marks = rows.select(order).join(kept.withColumnRenamed("node", order), order, "left").select(order, (~F.coalesce("kept", F.lit(True))).alias("dedup_dropped"), F.col(order).cast("string").alias("dedup_cluster_id"))
+        found = semantic.semantic_marks(embeddings.join(rows.select(order, "dump"), order), order, d.scope)
+        # documents without an embedding are like no other
+        scoped = dedup.with_scope(rows.select(order, "dump"), d.scope).join(found.drop("dedup_scope"), order, "left")
+        marks = scoped.withColumns({"dedup_dropped": F.coalesce("dedup_dropped", F.lit(False)), "dedup_cluster_id": F.coalesce("dedup_cluster_id", F.col(order).cast("string"))})
     else:
         raise ValueError(f"unknown method: {d.method}")
-    marked = rows.drop("dedup_cluster_id", "dedup_dropped").join(marks, order)
+    return marks.select(order, "dedup_scope", F.col("dedup_cluster_id").cast("string").alias("dedup_cluster_id"), "dedup_dropped")
+
+
+def execute(docs: DataFrame, policy: Policy, evaluation: DataFrame | None = None, order: str = "doc_id", embeddings: DataFrame | None = None, **scorers) -> Curated:
+    """Carry out a policy: filter, annotate, deduplicate, decontaminate, and cut to the budget and the caps.
+
+    ``evaluation``: item_id, source, text of held-out material; only the policy's targets count, if it names any (any case).
+    If decontamination is enabled, it is an error if there is none, or none of one of the targets. A keep rule other than ``first``
+    chooses one document of each cluster of a scope. Statistics count documents that deduplication or decontamination dropped, up to the
+    document that ends the budget. ``embeddings``: order and ``embedding``.
+
+    Filtered texts are written once. All decisions are made on ids, hashes and counts; the texts of the documents kept are joined at the end.
+    """
+    items = held_out(policy.decontam, evaluation) if policy.decontam.enabled else None
+    if policy.dedup.keep_rule not in dedup.KEEP_RULES:
+        raise ValueError(f"unknown keep rule: {policy.dedup.keep_rule}")
+    docs = docs if "dump" in docs.columns else docs.withColumn("dump", F.lit(None).cast("string"))
+    rows = materialize(annotated(docs.drop("dedup_scope", "dedup_cluster_id", "dedup_dropped", "dedup_method", "decontam_dropped"), policy, **scorers))
+    d, c = policy.dedup, policy.decontam
+    marks = _marks(rows, d, order, policy.seed, embeddings)
     if d.keep_rule != "first":
-        best = dedup.keep_one(marked, d.keep_rule, order=order).select(order).withColumn("_best", F.lit(True))
-        marked = marked.join(best, order, "left").withColumn("dedup_dropped", F.col("_best").isNull()).drop("_best")
-    marked = marked.withColumn("dedup_method", F.lit(d.method))
+        score = rows.select(order, dedup.keep_score(d.keep_rule, rows.columns).alias("_score"))
+        best = dedup.keep_one(marks.join(score, order), d.keep_rule, order=order, score=F.col("_score"), scope="dedup_scope").select(order).withColumn("_best", F.lit(True))
+        marks = marks.join(best, order, "left").withColumn("dedup_dropped", F.col("_best").isNull()).drop("_best")
+    marks = materialize(marks)
 
-    c = policy.decontam
+    config = decon.DecontamConfig(c.ngram_size, c.overlap_threshold, c.mode)
+    flagged = None
     if items is not None:
-        config = decon.DecontamConfig(c.ngram_size, c.overlap_threshold, c.mode)
-        index = decon.build_index(items, config)
-        if c.mode == "drop":
-            hit = decon.overlaps(marked.where("NOT dedup_dropped"), index, config, order).where(F.col("overlap_score") >= c.overlap_threshold)
-            marked = marked.join(hit.select(order).withColumn("decontam_dropped", F.lit(True)), order, "left").withColumn("decontam_dropped", F.coalesce("decontam_dropped", F.lit(False)))
-        else:
-            marked = decon.decontaminate(marked, index, config, order).withColumn("decontam_dropped", F.lit(False))
+        left = rows.select(order, "text").join(marks.where("dedup_dropped").select(order), order, "left_anti")
+        flagged = materialize(decon.overlaps(left, decon.build_index(items, config), config, order).where(F.col("overlap_score") >= c.overlap_threshold))
+    slim = rows.select(order, "token_count", "slice_tags", "mean_quality").join(marks, order).withColumn("dedup_method", F.lit(d.method))
+    if flagged is not None and c.mode == "drop":
+        slim = slim.join(flagged.select(order).withColumn("_hit", F.lit(True)), order, "left").withColumn("decontam_dropped", F.coalesce("_hit", F.lit(False))).drop("_hit")
     else:
-        marked = marked.withColumn("decontam_dropped", F.lit(False))
-    marked = materialize(marked)
-
-    live = marked.where("NOT dedup_dropped AND NOT decontam_dropped")
-    chosen = budget.capped_within_budget(live, policy.max_tokens_per_slice, policy.max_tokens, order) if policy.max_tokens_per_slice else budget.within_budget(live, policy.max_tokens, order)
-    chosen = materialize(chosen)
-    n_live, n_chosen = live.count(), chosen.count()
-    end = None
-    if n_chosen < n_live and not policy.max_tokens_per_slice:
-        end = live.join(chosen.select(order), order, "left_anti").agg(F.min(order).alias("e")).first()["e"]
-    dropped = marked.where("dedup_dropped OR decontam_dropped")
+        slim = slim.withColumn("decontam_dropped", F.lit(False))
+    slim = materialize(slim)
+
+    live = slim.where("NOT dedup_dropped AND NOT decontam_dropped")
+    chosen, end = budget.selection(live, policy.max_tokens, policy.max_tokens_per_slice, order)
+    kept, dropped = live.where(chosen), slim.where("dedup_dropped OR decontam_dropped")
     if end is not None:
         dropped = dropped.where(F.col(order) < F.lit(end))
-    return Curated(chosen, chosen.unionByName(dropped, allowMissingColumns=True))
+    documents = rows.join(kept.drop("token_count", "slice_tags", "mean_quality"), order)
+    if flagged is not None and c.mode != "drop":
+        documents = decon.with_flags(documents, flagged, config, order)
+    return Curated(documents, kept.unionByName(dropped))
 
 
 def sampled(curated: Curated, policy: Policy, n: int, order: str = "doc_id") -> DataFrame:
