@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamworks import storage
 from loamworks.functions.text import authority
 
 
@@ -16,6 +17,9 @@ def _tag(name: str, value: Column) -> Column:
     return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{name}="), value))
 
 
+# Names, edges and labels of the bins below.
+
+
 def _bins(name: str, value: Column, edges: list[tuple[float, str]], last: str, least: bool) -> Column:
     """The label of the first edge that the value is below (or, with ``least``, not below)."""
     c = F.when(value.isNull(), F.lit(None).cast("string"))
@@ -132,9 +136,14 @@ def composition(stats: DataFrame, total: DataFrame) -> DataFrame:
     return out if tokens else out.limit(0)
 
 
-def feature_matrix(compositions: DataFrame, run: str = "run_id") -> DataFrame:
-    """One row per run with a column for each slice, in the order of names, 0 where a run lacks it."""
-    names = [r["slice"] for r in compositions.select("slice").distinct().orderBy("slice").collect()]
+def feature_matrix(compositions: DataFrame, run: str = "run_id", most: int = 2000) -> DataFrame:
+    """One row per run with a column for each slice, in the order of names, 0 where a run lacks it.
+
+    For tags of which there is one per host or the like, use the long form; more than ``most`` slices are an error.
+    """
+    names = [r["slice"] for r in compositions.select("slice").distinct().orderBy("slice").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} slices; leave out tags without a bounded number of values")
     return compositions.groupBy(run).pivot("slice", names).agg(F.sum("token_fraction")).na.fill(0.0)
 
 
@@ -147,16 +156,46 @@ def diversity(stats: DataFrame) -> DataFrame:
 
 
 def save_stats(stats: DataFrame, total: DataFrame, path: str) -> None:
-    """Statistics as one JSON document with ``total`` and ``by_slice``. Slices are a bounded set of tags."""
-    by = {r["slice"]: {k: v for k, v in r.asDict().items() if k != "slice"} for r in stats.orderBy("slice").collect()}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"total": total.first().asDict(), "by_slice": by}, f, indent=2, sort_keys=True)
+    """Statistics as one JSON document with ``total`` and ``by_slice``."""
+    by = {r["slice"]: {k: v for k, v in r.asDict().items() if k != "slice"} for r in stats.orderBy("slice").toLocalIterator()}
+    storage.write_text(path, json.dumps({"total": total.first().asDict(), "by_slice": by}, indent=2, sort_keys=True))
+
+
+_STATS_SCHEMA = "slice string, doc_count bigint, token_count bigint, avg_quality_score double, dedup_dropped bigint, decontam_dropped bigint, dedup_drop_rate double, decontam_drop_rate double"
+
+
+def _rows(spark: SparkSession, by: dict[str, dict]) -> DataFrame:
+    names = [n.split()[0] for n in _STATS_SCHEMA.split(", ")]
+    return spark.createDataFrame([tuple({"slice": k, **v}[n] for n in names) for k, v in by.items()], _STATS_SCHEMA)
 
 
 def load_stats(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """What ``save_stats`` wrote, with all its fields."""
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
-    rows = [{"slice": k, **v} for k, v in data["by_slice"].items()]
-    schema = "slice string, doc_count bigint, token_count bigint, avg_quality_score double, dedup_dropped bigint, decontam_dropped bigint, dedup_drop_rate double, decontam_drop_rate double"
-    return spark.createDataFrame([tuple(r[n.split()[0]] for n in schema.split(", ")) for r in rows], schema), data["total"]
+    data = json.loads(storage.read_text(path))
+    return _rows(spark, data["by_slice"]), data["total"]
+
+
+def manifest_composition(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+    """The dataset id of a saved manifest, and its composition from ``slice_stats.json`` beside it; no rows without that file."""
+    run = json.loads(storage.read_text(path)).get("dataset_id", "unknown")
+    beside = storage.join(path.rsplit("/", 1)[0], "slice_stats.json")
+    if not storage.exists(beside):
+        return run, composition(_rows(spark, {}), spark.createDataFrame([(0, 0)], "doc_count bigint, token_count bigint"))
+    stats, total = load_stats(spark, beside)
+    return run, composition(stats, spark.createDataFrame([(total["doc_count"], total["token_count"])], "doc_count bigint, token_count bigint"))
+
+
+def collect_compositions(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """``run_id, slice, token_fraction, doc_fraction, avg_quality`` of all folders that hold a ``manifest.json``; others are passed over."""
+    out = spark.createDataFrame([], "run_id string, slice string, token_fraction double, doc_fraction double, avg_quality double")
+    for folder in folders:
+        if storage.exists(storage.join(folder, "manifest.json")):
+            run, rows = manifest_composition(spark, storage.join(folder, "manifest.json"))
+            out = out.unionByName(rows.withColumn("run_id", F.lit(run)))
+    return out
+
+
+def composition_ratios(df: DataFrame, key: str) -> DataFrame:
+    """``key, n, share``: documents of each value (missing: ``unknown``) and their share of all."""
+    by = df.groupBy(F.coalesce(F.col(key), F.lit("unknown")).alias(key)).agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
+    return by.join(df.agg(F.count("*").alias("_all")).withColumn("_k", F.lit(1)), "_k").select(key, "n", (F.col("n") / F.col("_all")).alias("share"))

@@ -13,6 +13,7 @@ from importlib import metadata
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loamworks import storage
 from loamworks.plans.policy import Policy, canonical
 from loamworks.sources import tables
 
@@ -41,35 +42,36 @@ def run_stamp(packages: tuple[str, ...] = ("pyspark", "pyarrow", "numpy", "panda
     }
 
 
-def dataset_card(manifest: dict, policy: Policy, stats: DataFrame | None = None) -> str:
-    """Markdown: what the dataset is, how it was made, and its largest slices."""
+def dataset_card(manifest: dict, policy: Policy, stats: DataFrame | None = None, slices: int = 50) -> str:
+    """Markdown: what the dataset is, how it was made, and its largest slices, ``slices`` of them; the card says if there are more."""
     n = sum(s.get("doc_count", 0) for s in manifest["shards"])
     out = [f"# {manifest['dataset_id']}", "", f"Created {manifest['created_at']}, {n} documents in {len(manifest['shards'])} shards ({manifest['format']}).", "", "## Policy", ""]
     out += [f"- {k}: {json.dumps(v)}" for k, v in policy.to_dict().items()]
     out += ["", f"Policy hash: `{policy.digest()}`", ""]
     if stats is not None:
         out += ["## Slices", "", "| slice | documents | tokens | mean quality |", "| --- | --- | --- | --- |"]
-        out += [f"| {r['slice']} | {r['doc_count']} | {r['token_count']} | {r['avg_quality_score']} |" for r in stats.orderBy(F.desc("token_count"), "slice").limit(50).collect()]
+        rows = stats.orderBy(F.desc("token_count"), "slice").limit(slices + 1).collect()
+        out += [f"| {r['slice']} | {r['doc_count']} | {r['token_count']} | {r['avg_quality_score']} |" for r in rows[:slices]]
+        out += ["", f"The {slices} slices of most tokens; there are more."] * (len(rows) > slices)
     return "\n".join(out) + "\n"
 
 
 def export_dataset(df: DataFrame, path: str, dataset_id: str, license_name: str = "", per_shard: int = 10_000) -> dict:
     """Parquet shards with ``dataset_info.json`` and ``state.json`` beside them."""
-    tables.write_shards(df, os.path.join(path, "data"), per_shard, "parquet")
-    shards = tables.shard_manifest(df.sparkSession, os.path.join(path, "data"), "parquet")
+    tables.write_shards(df, storage.join(path, "data"), per_shard, "parquet")
+    shards = tables.shard_manifest(df.sparkSession, storage.join(path, "data"), "parquet")
     manifest = tables.make_manifest(dataset_id, shards, fmt="parquet")
     info = {"dataset_name": dataset_id, "license": license_name, "features": {f.name: f.dataType.simpleString() for f in df.schema.fields}, "splits": {"train": {"num_examples": sum(s["doc_count"] for s in manifest["shards"])}}}
     for name, data in (("dataset_info.json", info), ("state.json", {"_data_files": [{"filename": f"data/{s['path']}"} for s in manifest["shards"]], "_split": "train"}), ("manifest.json", manifest)):
-        with open(os.path.join(path, name), "w", encoding="utf-8") as f:
-            json.dump(data, f, indent=2, sort_keys=True, default=str)
+        storage.write_text(storage.join(path, name), json.dumps(data, indent=2, sort_keys=True, default=str))
     return manifest
 
 
 def verify_release(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """``path, problem`` of shards of a saved manifest that are missing, or whose checksum or count differs; no rows if all is well."""
-    manifest = tables.load_manifest(os.path.join(path, "manifest.json"))
+    manifest = tables.load_manifest(storage.join(path, "manifest.json"))
     want = spark.createDataFrame([(s["path"], s["checksum"], s["doc_count"]) for s in manifest["shards"]], "path string, want_sum string, want_count bigint")
-    have = tables.shard_manifest(spark, os.path.join(path, "data"), fmt)
+    have = tables.shard_manifest(spark, storage.join(path, "data"), fmt)
     joined = want.join(have, "path", "full_outer")
     problem = F.when(F.col("checksum").isNull(), "missing").when(F.col("want_sum").isNull(), "unknown").when(F.col("checksum") != F.col("want_sum"), "checksum").when(F.col("doc_count") != F.col("want_count"), "count")
     return joined.select("path", problem.alias("problem")).where("problem IS NOT NULL")
@@ -122,7 +124,7 @@ def diff_report(a: Policy, b: Policy) -> str:
 def experiment_report(title: str, scores: DataFrame, coefficients: DataFrame | None = None, as_html: bool = False) -> str:
     """Scores, best first, and the five highest and three lowest coefficients of each benchmark."""
     out = [f"# {title}", "", "| benchmark | score |", "| --- | --- |"]
-    out += [f"| {r['benchmark']} | {r['score']:.4f} |" for r in scores.orderBy(F.desc("score"), "benchmark").limit(1000).collect()]
+    out += [f"| {r['benchmark']} | {r['score']:.4f} |" for r in scores.orderBy(F.desc("score"), "benchmark").toLocalIterator()]
     if coefficients is not None:
         up = F.row_number().over(Window.partitionBy("benchmark").orderBy(F.desc("value"), "slice"))
         down = F.row_number().over(Window.partitionBy("benchmark").orderBy("value", "slice"))

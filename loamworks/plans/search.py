@@ -6,15 +6,20 @@ Trials are a data frame: trial_id, score, compute_cost, dataset_tokens, contamin
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loamworks import storage
+from loamworks.session import shuffle_partitions
+
 
 @dataclass(frozen=True)
 class Parameter:
@@ -105,20 +110,66 @@ def pareto(trials: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(best[:, k]) for k in range(3)], names=["s", "c", "t"])
 
     schema = "s double, c double, t double"
-    front = first.mapInArrow(local, schema).coalesce(1).mapInArrow(local, schema).withColumn("_f", F.lit(True))
+    front = first.mapInArrow(local, schema)
+    # what is left of all partitions meets in fewer and fewer tasks
+    parts = shuffle_partitions(trials.sparkSession)
+    while parts > 1:
+        parts = max(1, parts // 8)
+        front = front.repartition(parts).mapInArrow(local, schema)
+    front = front.withColumn("_f", F.lit(True))
     return goals.join(front, ["s", "c", "t"], "left").select("trial_id", F.coalesce("_f", F.lit(False)).alias("is_pareto"))
 
 
 def skyline(points):
-    """The rows that no other row dominates: in descending order of the first column only earlier rows can."""
+    """The rows of three columns that no other row dominates.
+
+    In descending order of the first column only earlier rows can dominate; of their other two columns a staircase is kept, in which
+    one search tells.
+    """
     import numpy as np
 
     points = np.unique(points, axis=0)[::-1]
-    kept = np.empty((0, points.shape[1]))
-    for p in points:
-        if not ((kept >= p).all(axis=1)).any():
-            kept = np.vstack([kept, p])
-    return kept
+    kept, c, t = [], [], []  # c rises, t falls
+    for k, (_, x, y) in enumerate(points.tolist()):
+        i = bisect_left(c, x)
+        if i < len(c) and t[i] >= y:
+            continue
+        kept.append(k)
+        j = bisect_right(c, x)
+        i = j
+        while i and t[i - 1] <= y:
+            i -= 1
+        c[i:j], t[i:j] = [x], [y]
+    return points[kept]
+
+
+def save_frontier(trials: DataFrame, path: str) -> dict:
+    """``objectives, frontier, all_points`` of trials as a JSON file; ``config`` (a JSON string) goes along if there is such a column."""
+    config = ["config"] if "config" in trials.columns else []
+    rows = trials.select("trial_id", "score", "compute_cost", "dataset_tokens", *config).join(pareto(trials), "trial_id").orderBy("trial_id").collect()
+    point = lambda r: {"trial_id": r["trial_id"], "objectives": {k: r[k] for k in ("score", "compute_cost", "dataset_tokens")}}
+    out = {
+        "objectives": {"score": "max", "compute_cost": "min", "dataset_tokens": "max"},
+        "frontier": [point(r) | ({"config": json.loads(r["config"] or "{}")} if config else {}) for r in rows if r["is_pareto"]],
+        "all_points": [point(r) | {"is_pareto": r["is_pareto"]} for r in rows],
+    }
+    storage.write_text(path, json.dumps(out, indent=2))
+    return out
+
+
+def load_frontier(spark: SparkSession, path: str) -> DataFrame:
+    """``trial_id, score, compute_cost, dataset_tokens, is_pareto`` of a saved frontier and all its points."""
+    rows = json.loads(storage.read_text(path))["all_points"]
+    flat = [(r["trial_id"], r["objectives"]["score"], r["objectives"]["compute_cost"], r["objectives"]["dataset_tokens"], r["is_pareto"]) for r in rows]
+    return spark.createDataFrame(flat, "trial_id bigint, score double, compute_cost double, dataset_tokens bigint, is_pareto boolean")
+
+
+def frontier_summary(frontier: dict) -> str:
+    if not frontier["frontier"]:
+        return "no trials on the frontier\n"
+    lines = [f"{len(frontier['frontier'])} of {len(frontier['all_points'])} trials on the frontier"]
+    lines += [f"- {p['trial_id']}: " + ", ".join(f"{k} {v}" for k, v in p["objectives"].items()) for p in frontier["frontier"]]
+    return "\n".join(lines) + "\n"
 
 
 def promote(trials: DataFrame, fraction: float, level: str = "level") -> DataFrame:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamworks.operators.prefix import running_total
+from loamworks import storage
+from loamworks.functions.text import words
+from loamworks.operators.prefix import running_total, running_total_by_order
 from loamworks.session import materialize
 
 
@@ -91,25 +92,28 @@ def make_manifest(dataset_id: str, shards: DataFrame, policy: dict | None = None
 
 
 def save_manifest(manifest: dict, path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(manifest, f, indent=2, sort_keys=True, default=str)
+    storage.write_text(path, json.dumps(manifest, indent=2, sort_keys=True, default=str))
 
 
 def load_manifest(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    return json.loads(storage.read_text(path))
 
 
 def read_manifest(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """The documents of all shards of a saved manifest, which lies beside them."""
-    base = os.path.dirname(path)
-    return spark.read.format(fmt).load([os.path.join(base, s["path"]) for s in load_manifest(path)["shards"]])
+    base = path.rsplit("/", 1)[0]
+    return spark.read.format(fmt).load([storage.join(base, s["path"]) for s in load_manifest(path)["shards"]])
 
 
-def training_order(df: DataFrame, seed: int, key: str = "id") -> DataFrame:
-    """All documents in the order of md5 of ``seed:key``."""
-    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
+def training_order(df: DataFrame, seed: int, key: str = "id", most_words: int | None = None, text: str = "text") -> DataFrame:
+    """All documents with ``position``, their place in the order of md5 of ``seed:key``; with ``most_words`` also ``tokens``, the first words of the text.
+
+    Places are running counts over ranges of the hash, so no task sorts everything.
+    """
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    placed = running_total_by_order(df.select(h.alias("_h"), F.col(key)), ["_h", key], F.lit(1), "position").select(key, F.col("position").cast("bigint").alias("position"))
+    out = df.join(placed, key)
+    return out if most_words is None else out.withColumn("tokens", F.slice(words(F.coalesce(F.col(text), F.lit(""))), 1, most_words))
 
 
 def streaming_order(df: DataFrame, seed: int, shard: str = "shard_id", key: str = "id") -> DataFrame:
@@ -120,24 +124,54 @@ def streaming_order(df: DataFrame, seed: int, shard: str = "shard_id", key: str
 
 def load_blocklist(spark: SparkSession, path: str) -> DataFrame:
     """``domain`` of a file or of all ``*.txt`` files of a directory: one per line, ``#`` begins a comment. No file: no rows."""
-    if not os.path.exists(path):
+    files = [f for f in storage.list_files(path) if f.endswith(".txt") or not storage.list_names(path)]
+    if not files:
         return spark.createDataFrame([], "domain string")
-    target = os.path.join(path, "*.txt") if os.path.isdir(path) else path
-    lines = spark.read.text(target).select(F.lower(F.trim(F.regexp_replace("value", "#.*$", ""))).alias("domain"))
+    lines = spark.read.text(files).select(F.lower(F.trim(F.regexp_replace("value", "#.*$", ""))).alias("domain"))
     return lines.where("domain <> ''").distinct()
 
 
-def validate_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """``file, rows, corrupt``: rows that do not parse as JSON of the schema, by shard."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    parsed = lines.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.from_json("value", f"{schema}, _corrupt string", options).alias("r"))
-    return parsed.groupBy("file").agg(F.count("*").alias("rows"), F.count("r._corrupt").alias("corrupt"))
+def validate_shards(spark: SparkSession, path: str, schema: str, fmt: str = "json", wanted: list[str] | None = None) -> DataFrame:
+    """``file, rows, corrupt, problem`` by shard: null if all is well, else ``missing`` (of the ``wanted`` names), ``empty`` or ``corrupt``.
+
+    A JSON row is corrupt if it does not parse as the schema; of Parquet, shards without rows are found.
+    """
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select(name("path").alias("file"))
+    if fmt == "json":
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+        lines = spark.read.text(path).where("trim(value) <> ''")
+        parsed = lines.select(name("_metadata.file_path").alias("file"), F.from_json("value", f"{schema}, _corrupt string", options)["_corrupt"].isNotNull().alias("bad"))
+    else:
+        parsed = spark.read.schema(schema).format(fmt).load(path).select(name("_metadata.file_path").alias("file"), F.lit(False).alias("bad"))
+    counts = parsed.groupBy("file").agg(F.count("*").alias("rows"), F.count_if("bad").alias("corrupt"))
+    if wanted is not None:
+        files = files.join(spark.createDataFrame([(w, True) for w in wanted], "file string, _wanted boolean"), "file", "full_outer")
+        there = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select(name("path").alias("file"), F.lit(True).alias("_there"))
+        files = files.join(there, "file", "left").withColumn("_gone", F.col("_there").isNull())
+    else:
+        files = files.withColumn("_gone", F.lit(False))
+    out = files.join(counts, "file", "left").na.fill(0, ["rows", "corrupt"])
+    problem = F.when(F.col("_gone"), "missing").when(F.col("rows") == 0, "empty").when(F.col("corrupt") > 0, "corrupt")
+    return out.select("file", "rows", "corrupt", problem.alias("problem"))
 
 
 def recover_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The rows of JSON shards that parse; others are left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """The rows of JSON shards that parse; others are left out. ``recovered_counts`` tells how many."""
+    return _parsed(spark, path, schema).where("_bad IS NULL").select("r.*").drop("_corrupt")
+
+
+def recovered_counts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``file, recovered, lost``: lines of each JSON shard that parse and that do not."""
+    by = _parsed(spark, path, schema).groupBy("file")
+    return by.agg(F.count_if(F.col("_bad").isNull()).alias("recovered"), F.count("_bad").alias("lost"))
+
+
+def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    out = lines.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.from_json("value", f"{schema}, _corrupt string", options).alias("r"))
+    return out.withColumn("_bad", F.col("r._corrupt"))
 
 
 class FeatureCache:
@@ -147,10 +181,10 @@ class FeatureCache:
         self.spark, self.root, self.key = spark, root, key
 
     def _path(self, feature: str) -> str:
-        return os.path.join(self.root, hashlib.sha256(feature.encode()).hexdigest()[:16])
+        return storage.join(self.root, hashlib.sha256(feature.encode()).hexdigest()[:16])
 
     def get(self, feature: str) -> DataFrame | None:
-        return self.spark.read.parquet(self._path(feature)) if os.path.exists(self._path(feature)) else None
+        return self.spark.read.parquet(self._path(feature)) if storage.exists(self._path(feature)) else None
 
     def get_or_compute(self, df: DataFrame, feature: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """``df`` with a column named as the feature. ``compute`` returns key and feature; a null value counts as known."""
@@ -160,7 +194,7 @@ class FeatureCache:
         return df.join(self.spark.read.parquet(self._path(feature)), self.key, "left")
 
     def clear(self, feature: str) -> None:
-        shutil.rmtree(self._path(feature), ignore_errors=True)
+        storage.delete(self._path(feature))
 
 
 class ArtifactStore:
@@ -174,34 +208,34 @@ class ArtifactStore:
         return hashlib.sha256(f"{policy}:{code}:{inputs}".encode()).hexdigest()[:16]
 
     def path(self, key: str) -> str:
-        return os.path.join(self.root, key)
+        return storage.join(self.root, key)
 
     def exists(self, key: str) -> bool:
-        return os.path.exists(os.path.join(self.path(key), "manifest.json"))
+        return storage.exists(storage.join(self.path(key), "manifest.json"))
 
     def put(self, key: str, df: DataFrame, manifest: dict | None = None, per_shard: int = 10_000) -> str:
-        write_shards(df, os.path.join(self.path(key), "data"), per_shard)
-        shards = shard_manifest(df.sparkSession, os.path.join(self.path(key), "data"))
-        save_manifest((manifest or {}) | {"key": key, "shards": [r.asDict() for r in shards.orderBy("path").collect()]}, os.path.join(self.path(key), "manifest.json"))
+        write_shards(df, storage.join(self.path(key), "data"), per_shard)
+        shards = shard_manifest(df.sparkSession, storage.join(self.path(key), "data"))
+        save_manifest((manifest or {}) | {"key": key, "shards": [r.asDict() for r in shards.orderBy("path").collect()]}, storage.join(self.path(key), "manifest.json"))
         return self.path(key)
 
     def list(self) -> list[str]:
-        return sorted(k for k in (os.listdir(self.root) if os.path.isdir(self.root) else []) if self.exists(k))
+        return [k for k in storage.list_names(self.root) if self.exists(k)]
 
     def delete(self, key: str) -> None:
-        shutil.rmtree(self.path(key), ignore_errors=True)
+        storage.delete(self.path(key))
 
 
 class RunLog:
-    """Events of a run as JSON lines; read back with ``read``."""
+    """Events of a run as JSON lines, a file for each event (object stores cannot append); read back with ``read``."""
 
     def __init__(self, path: str, run_id: str):
         self.path, self.run_id = path, run_id
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
 
     def log(self, event: str, **values) -> None:
-        with open(self.path, "a", encoding="utf-8") as f:
-            f.write(json.dumps({"timestamp": datetime.now(UTC).isoformat(), "run_id": self.run_id, "event": event, **values}, default=str) + "\n")
+        now = datetime.now(UTC).isoformat()
+        line = json.dumps({"timestamp": now, "run_id": self.run_id, "event": event, **values}, default=str) + "\n"
+        storage.write_text(storage.join(self.path, f"{now.replace(':', '')}-{uuid.uuid4().hex[:8]}.json"), line)
 
     def config(self, config: dict) -> None:
         self.log("config", config=config)

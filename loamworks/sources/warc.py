@@ -1,14 +1,13 @@
 """WET and WARC files as a data source: ``spark.read.format("warc").load(path)`` after ``register(spark)``.
 
-Each file is one partition, read as a stream; ``.gz`` by suffix, UTF-8 with replacement of invalid bytes. A record begins at a
+Files lie in a folder, or match a pattern of the last part of a path, on any file system. Each file is one partition, read as a stream; ``.gz`` by suffix, UTF-8 with replacement of invalid bytes. A record begins at a
 line ``WARC/``, its headers end at the first blank line, and its body lasts for ``Content-Length`` bytes, so body lines that look
 like headers stay text. For ``warc`` files the HTTP headers before the page are left out. Records without id or body are skipped.
 """
 
 from __future__ import annotations
 
-import glob
-import gzip
+import io
 import os
 import re
 from collections.abc import Iterator
@@ -16,6 +15,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from loamworks import storage
+
 SCHEMA = "id string, url string, text string, source string, file_type string, source_file string, dump string"
 _DUMP = re.compile(r"(CC-MAIN-\d{4}-\d{2})")
 
@@ -64,8 +65,7 @@ class _Reader(DataSourceReader):
         path = options.get("path", "")
         self.file_type = options.get("file_type", "wet")
         self.limit = int(options.get("limit", "0") or 0)
-        found = sorted(glob.glob(os.path.join(path, "*")) if os.path.isdir(path) else glob.glob(path))
-        self.paths = [p for p in found if os.path.isfile(p)]
+        self.paths = [p for p in storage.list_files(path) if not os.path.basename(p).startswith(("_", "."))] if path else []
 
     def partitions(self):
         return [_File(p) for p in self.paths] or [_File("")]
@@ -75,8 +75,8 @@ class _Reader(DataSourceReader):
         if not path:
             return
         dump = _DUMP.search(path)
-        opener = gzip.open if path.endswith(".gz") else open
-        with opener(path, "rb") as f:
+        where, inner = storage.locate(path)
+        with where.open_input_stream(inner, compression="gzip" if path.endswith(".gz") else None, buffer_size=1 << 20) as raw, io.BufferedReader(raw, 1 << 20) as f:
             for n, (ident, url, text) in enumerate(records(f, self.file_type)):
                 if self.limit and n >= self.limit:
                     return
