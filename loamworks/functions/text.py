@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The characters that separate words: every Unicode white space, as Python's ``str.split`` has it.
-SPACE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The characters that separate words: every Unicode white space, as Python's ``str.split`` has it. Those beyond Latin-1 stand behind one range, so that most characters are decided by two tests.
+SPACE = r" \t\n\x0B\f\r\x1C\x1D\x1E\x1F\x85\xA0[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once for each row, whatever reads it.
+
+    Otherwise a filter on it would be pushed below, and the expression be computed again for each mention in the filter.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def words(text: Column) -> Column:
     """The parts between white space."""
-    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
 
 def lines(text: Column) -> Column:
@@ -65,5 +73,4 @@ def authority(url: Column) -> Column:
 
 #: The patterns of masked addresses. The class ``[A-Z|a-z]`` admits a bar, as the rule has it.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
-_OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-PUBLIC_IPV4 = rf"\b(?!10\.)(?!127\.)(?!172\.(?:1[6-9]|2[0-9]|3[01])\.)(?!192\.168\.)(?:{_OCTET}\.){{3}}{_OCTET}\b"
+PUBLIC_IPV4 = r"\b(?!10\.)(?!127\.)(?!172\.(?:1[6-9]|2[0-9]|3[01])\.)(?!192\.168\.)(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamworks.functions.text import bound, words
+from loamworks.functions.text import bound, computed_once, words
 
 #: Frequent function words by language, for the scorer that needs no model.
 STOP_WORDS = {
@@ -41,7 +41,7 @@ def stop_word_language(text: Column) -> Column:
 
 def with_language(df: DataFrame, scorer: Callable[[Column], Column] = stop_word_language, text: str = "text") -> DataFrame:
     """Add ``language`` and ``language_score`` (4 decimals) by a scorer that returns a struct of both."""
-    out = df.withColumn("_l", scorer(F.col(text)))
+    out = computed_once(df, "_l", scorer(F.col(text)))
     return out.withColumn("language", F.col("_l.language")).withColumn("language_score", F.round("_l.language_score", 4)).drop("_l")
 
 

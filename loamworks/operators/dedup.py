@@ -35,11 +35,13 @@ def mark_exact(df: DataFrame, order: str = "doc_id", scope: str = "global", norm
 
 
 def exact_dedup(df: DataFrame, order: str = "doc_id", scope: str = "global", normalize: bool = True, text: str = "text", dump: str = "dump") -> DataFrame:
-    """Keep the first document of each text in a scope. Hashes and ids meet, not texts; ``order`` must be unique."""
-    scoped = with_scope(df, scope, dump)
-    hashed = scoped.select("dedup_scope", order, content_hash(F.coalesce(F.col(text), F.lit("")), normalize).alias("content_hash"))
-    first = hashed.groupBy("dedup_scope", "content_hash").agg(F.min(order).alias(order)).select(order, "content_hash")
-    kept = scoped.drop("content_hash").join(first, order)
+    """Keep the first document of each text in a scope.
+
+    One pass and one shuffle, of the columns that are used later; each input partition passes on one row per text (window group limit).
+    """
+    hashed = with_scope(df, scope, dump).withColumn("content_hash", content_hash(F.coalesce(F.col(text), F.lit("")), normalize))
+    rank = F.row_number().over(Window.partitionBy("dedup_scope", "content_hash").orderBy(order))
+    kept = hashed.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
     return kept.withColumn("dedup_cluster_id", F.substring("content_hash", 1, 16)).withColumn("dedup_method", F.lit("exact"))
 
 

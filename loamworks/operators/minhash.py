@@ -1,7 +1,7 @@
 """Near-duplicate removal by MinHash bands, with the rule that an earlier document in any shared band drops a later one.
 
-Signatures are built from Arrow batches: rolling hashes of character runs modulo a prime, one affine map per
-signature value. Bands meet by aggregation, not by pairs: a band shared by a third of all documents costs one row each.
+Signatures are built for whole batches at once: mixed 64-bit hashes of all character runs, for each signature value one multiplication by an odd
+number modulo 2^64 and the least result of each document. Bands meet by aggregation, not by pairs: a band shared by a third of all documents costs one row each.
 """
 
 from __future__ import annotations
@@ -17,9 +17,6 @@ from loamworks.operators.components import follow_parents
 from loamworks.operators.dedup import with_scope
 from loamworks.session import materialize
 
-_PRIME = np.uint64(2**31 - 1)
-
-
 @dataclass(frozen=True)
 class MinHashConfig:
     chars: int = 5
@@ -28,49 +25,68 @@ class MinHashConfig:
     seed: int = 42
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = [1]
-    for _ in range(n - 1):
-        out.append(out[-1] * base % int(_PRIME))
-    return np.array(out[::-1], np.uint64)
-
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Finalizer of a 64-bit hash (the splitmix constants)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def shingle_hashes(text: str, n: int, base: int = 1_000_003) -> np.ndarray:
-    """Distinct hashes of the runs of ``n`` characters of the lower-cased text; a shorter text is one run."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = max(1, min(n, len(points)))
-    out = np.zeros(max(1, len(points) - n + 1), np.uint64)
-    if len(points):
-        for k, p in enumerate(_powers(n, base)):
-            out = (out + points[k : len(points) - n + 1 + k] * p) % _PRIME
-    return np.unique(out)
 
+def signatures(texts: list[str | None], config: MinHashConfig, most: int = 200_000) -> np.ndarray:
+    """One row per text with ``bands * rows`` values. Runs of ``chars`` characters of the lower-cased text; a shorter text is one run, a null one an empty text.
 
-def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 1024) -> np.ndarray:
-    least = np.full(len(a), _PRIME, np.uint64)
-    for i in range(0, len(hashes), block):
-        least = np.minimum(least, ((a[:, None] * hashes[None, i : i + block] + b[:, None]) % _PRIME).min(axis=1))
-    return least
+    Texts are hashed in groups of about ``most`` characters, longer ones in parts, so that arrays stay in the cache.
+    """
+    n, k = max(1, config.chars), config.bands * config.rows
+    rng = np.random.default_rng(config.seed)
+    factors, shifts = rng.integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, k, dtype=np.uint64)
+    out = np.full((len(texts), k), np.iinfo(np.uint64).max, np.uint64)
+    group: list[tuple[int, str]] = []
+    size = 0
+
+    def flush() -> None:
+        points = np.frombuffer("".join(t for _, t in group).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        length = np.array([len(t) for _, t in group])
+        ends = np.cumsum(length)
+        hashes = np.zeros(len(points) - n + 1, np.uint64)
+        for j in range(n):
+            hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + points[j : len(points) - n + 1 + j]
+        whole = np.ones(len(hashes), bool)
+        cut = (ends[:-1, None] - np.arange(1, n)[None, :]).ravel()
+        whole[cut[cut < len(whole)]] = False
+        hashes = _mix(hashes[whole])
+        starts = np.concatenate([[0], np.cumsum(length - n + 1)[:-1]])
+        owner = np.array([i for i, _ in group])
+        for j in range(k):
+            least = np.minimum.reduceat(hashes * factors[j] + shifts[j], starts)
+            np.minimum.at(out[:, j], owner, least)
+
+    for i, t in enumerate(texts):
+        t = (t or "").lower().ljust(n, "\0")
+        for at in range(0, max(1, len(t) - n + 1), most):
+            part = t[at : at + most + n - 1]
+            group.append((i, part))
+            size += len(part)
+            if size >= most:
+                flush()
+                group, size = [], 0
+    if group:
+        flush()
+    return out
 
 
 def band_hashes(df: DataFrame, order: str, config: MinHashConfig = MinHashConfig(), text: str = "text") -> DataFrame:
     """``order, band, band_hash``: one row per document and band, next to ``dedup_scope`` if there is one."""
     keep = [order] + ["dedup_scope"] * ("dedup_scope" in df.columns)
-    rng = np.random.default_rng(config.seed)
-    k = config.bands * config.rows
-    a, b = rng.integers(1, int(_PRIME), k, dtype=np.uint64), rng.integers(0, int(_PRIME), k, dtype=np.uint64)
-    mixers = rng.integers(1, 2**63, config.rows, dtype=np.uint64) | np.uint64(1)
+    mixers = np.random.default_rng([config.seed, 1]).integers(0, 2**63, config.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 texts = part.column(len(keep)).to_pylist()
-                out = np.zeros((len(texts), config.bands), np.uint64)
-                for i, t in enumerate(texts):
-                    s = signature(shingle_hashes(t or "", config.chars), a, b).reshape(config.bands, config.rows)
-                    x = (s * mixers).sum(axis=1, dtype=np.uint64)
-                    out[i] = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                found = signatures(texts, config).reshape(len(texts), config.bands, config.rows)
+                out = _mix((found * mixers).sum(axis=2, dtype=np.uint64))
                 index = pa.array(np.repeat(np.arange(len(texts)), config.bands))
                 columns = [part.column(j).take(index) for j in range(len(keep))]
                 columns += [pa.array(np.tile(np.arange(config.bands, dtype=np.int32), len(texts))), pa.array(out.ravel().view(np.int64))]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamworks.functions.text import SPACE, count_chars, lines, words
+from loamworks.functions.text import SPACE, computed_once, count_chars, lines, words
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ def most_frequent_count(items: Column) -> Column:
         run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(F.lit(1))
         return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    return F.aggregate(F.array_sort(items), start, step)["best"]
+    return F.aggregate(F.sort_array(items), start, step)["best"]
 
 
 def _share(kept: Column, all_: Column) -> Column:
@@ -102,7 +102,7 @@ def with_quality(df: DataFrame, config: QualityConfig = QualityConfig(), text: s
     body = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("_words", words(body)).withColumn("_lines", lines(body))
     scores = score_columns(body, F.col("_words"), F.col("_lines"))
-    out = out.withColumn("_s", F.struct(*[c.alias(k) for k, c in scores.items()], F.length(body).alias("length"), F.size("_lines").alias("n_lines")))
+    out = computed_once(out, "_s", F.struct(*[c.alias(k) for k, c in scores.items()], F.length(body).alias("length"), F.size("_lines").alias("n_lines")))
     ok = _passes(config, F.col("_s"), F.col("_s.n_lines"))
     failed = F.filter(F.array(*[F.when(~ok[r], F.lit(r)) for r in RULES if r in enabled]), lambda x: x.isNotNull())
     return out.withColumn("quality_failed", failed).withColumn("quality_scores", F.struct(*[F.col(f"_s.{r}").alias(r) for r in RULES])).drop("_words", "_lines", "_s")

@@ -180,7 +180,13 @@ def semantic_marks(df: DataFrame, order: str, scope: str = "global", threshold:
 
 
 def shingle_links(df: DataFrame, threshold: float = 0.8, n: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``a, b`` of documents whose sets of word shingles have a Jaccard similarity of at least ``threshold``.
+    """``a, b`` of documents whose sets of word shingles have a Jaccard similarity of at least ``threshold``; copies of a set are linked to its first document, which stands for them."""
+    links, copies = _shingle_links(df, threshold, n, id_col, text)
+    return links.union(copies)
+
+
+def _shingle_links(df: DataFrame, threshold: float, n: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Links between the first documents of different sets, and of each copy to the first document of its set.
 
     Prefix filtering: with shingles ordered from rare to frequent, similar sets share one of their first ``size - ceil(t * size) + 1``;
     only those meet. Copies of a set meet as one.
@@ -203,9 +209,15 @@ def shingle_links(df: DataFrame, threshold: float = 0.8, n: int = 3, id_col: str
     common = F.size(F.array_intersect("sa", "sb"))
     links = full.where(common >= F.lit(threshold) * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
     copies = sets.select("sig", "id").join(ones.select("sig", F.col("id").alias("first")), "sig").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    return links.union(copies)
+    return links, copies
 
 
 def shingle_dedup(df: DataFrame, threshold: float = 0.8, n: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``node, kept`` by the greedy rule over shingle similarity."""
-    return greedy_keep(df.select(F.col(id_col).cast("bigint").alias("node")), shingle_links(df, threshold, n, id_col, text))
+    """``node, kept`` by the greedy rule over shingle similarity.
+
+    A copy is dropped in any case: by the first document of its set, or by what dropped that one.
+    """
+    links, copies = _shingle_links(df, threshold, n, id_col, text)
+    later = copies.select(F.col("b").alias("node"))
+    nodes = df.select(F.col(id_col).cast("bigint").alias("node"))
+    return greedy_keep(nodes.join(later, "node", "left_anti"), links).unionByName(later.withColumn("kept", F.lit(False)))

@@ -10,6 +10,7 @@ from dataclasses import asdict, dataclass, field, fields, is_dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamworks import storage
 from loamworks.operators import annotate, budget, dedup, masking, minhash, quality, semantic, slices
 from loamworks.operators import decontam as decon
 from loamworks.session import materialize
@@ -99,15 +100,13 @@ def reproducibility_key(policy: Policy, input_signature: str, code_version: str)
 def save_policy(policy: Policy, path: str) -> None:
     import yaml
 
-    with open(path, "w", encoding="utf-8") as f:
-        yaml.safe_dump(policy.to_dict(), f, sort_keys=True)
+    storage.write_text(path, yaml.safe_dump(policy.to_dict(), sort_keys=True))
 
 
 def load_policy(path: str) -> Policy:
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        return Policy.from_dict(yaml.safe_load(f))
+    return Policy.from_dict(yaml.safe_load(storage.read_text(path)))
 
 
 @dataclass

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 
 from loamworks.operators import annotate, budget, decontam, dedup, masking, minhash, quality, semantic, slices, urls
-from loamworks.operators.prefix import running_total_by_order
 from loamworks.plans import attribution, evals, policy, search
-from loamworks.session import materialize, shared_dir, table
+from loamworks.session import materialize, step_path, table
+from loamworks.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,6 +40,10 @@ _NORM = f"trim(regexp_replace(lower(coalesce(text, '')), '{_WS}+', ' ', 'g'))"
 _LAST = "(SELECT * FROM doc_records WHERE doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY fetched_at DESC, record_id DESC, ingested_at DESC) = 1)"
 
 
+def _grams_sql(words: str, n: int) -> str:
+    return f"(CASE WHEN len({words}) = 0 THEN [] WHEN len({words}) < {n} THEN [array_to_string({words}, ' ')] ELSE list_transform(range(1, len({words}) - {n} + 2), lambda i: array_to_string(list_slice({words}, i, i + {n} - 1), ' ')) END)"
+
+
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
@@ -55,7 +59,7 @@ def _latest(spark, sf_dir):
 
 _SCORES = f"""
 SELECT doc_id, n,
-  CASE WHEN n < 10 THEN 0.0 ELSE list_max(map_values(histogram_w))::DOUBLE / n END AS word_rep,
+  CASE WHEN n < 10 THEN 0.0 ELSE list_max(map_values(counts))::DOUBLE / n END AS word_rep,
   CASE WHEN len(ls) < 3 THEN 0.0 ELSE (len(ls) - len(list_distinct(ls)))::DOUBLE / len(ls) END AS line_rep,
   CASE WHEN n = 0 THEN 0.0 ELSE list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / n END AS avg_word_length,
   CASE WHEN len(ls) = 0 THEN 0.0 ELSE len(list_filter(ls, lambda l: regexp_matches(l, '[.!?]{_WS}*\\z')))::DOUBLE / len(ls) END AS sentence_end,
@@ -65,10 +69,8 @@ SELECT doc_id, n,
   CASE WHEN length(t) = 0 THEN 0.0 ELSE length(regexp_replace(t, '[^\\p{{Nd}}]', '', 'g'))::DOUBLE / length(t) END AS digit_ratio,
   CASE WHEN length(t) = 0 THEN 0.0 ELSE length(regexp_replace(t, '[^\\p{{L}}]', '', 'g'))::DOUBLE / length(t) END AS alpha_ratio,
   length(t) AS size, len(ls) AS n_lines
-FROM (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w, len({_WORDS}) AS n, {_LINES} AS ls, list_histogram({_WORDS}) AS histogram_w FROM documents)
+FROM (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w, len({_WORDS}) AS n, {_LINES} AS ls, list_aggregate({_WORDS}, 'histogram') AS counts FROM documents)
 """
-_SCORES = _SCORES.replace("list_max(map_values(histogram_w))", "list_max(map_values(histogram_w))").replace("list_histogram(", "list_aggregate(").replace(f"{_WORDS}) AS histogram_w", f"{_WORDS}, 'histogram') AS histogram_w")
-
 
 @query(
     "SELECT doc_id, n AS n_words, round(word_rep, 6) AS word_rep, round(line_rep, 6) AS line_rep, round(avg_word_length, 6) AS avg_word_length, round(sentence_end, 6) AS sentence_end, "
@@ -90,10 +92,30 @@ def quality_filter(spark, sf_dir):
     return quality.quality_filter(_docs(spark, sf_dir), quality.QualityConfig(rules=rules)).select("doc_id")
 
 
-@query()
+#: Characters of runs of ten or more equal ones, none a line feed: each maximal run counts once.
+_CHAR_REP = """(WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE length(text) >= 100),
+  r AS (SELECT doc_id, count(*) AS k FROM (SELECT doc_id, ch, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS run FROM c WHERE ch <> chr(10)) GROUP BY doc_id, ch, run HAVING count(*) >= 10)
+  SELECT d.doc_id, CASE WHEN length(coalesce(text, '')) < 100 THEN 0.0 ELSE coalesce(n, 0) * 10.0 / length(text) END AS char_rep FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id) USING (doc_id))"""
+
+
+@query(f"SELECT doc_id, round(char_rep, 6) AS char_rep, char_rep <= 0.2 AS passes FROM {_CHAR_REP}")
 def quality_char_rep(spark, sf_dir):
     out = quality.with_quality(_docs(spark, sf_dir), quality.QualityConfig(rules=("char_rep",)))
-    return out.select("doc_id", "quality_scores.char_rep", (F.size("quality_failed") == 0).alias("passes"))
+    return out.select("doc_id", F.round("quality_scores.char_rep", 6).alias("char_rep"), (F.size("quality_failed") == 0).alias("passes"))
+
+
+@query(f"""SELECT doc_id, round((word_rep + line_rep + char_rep + n + n + avg_word_length + sentence_end + ellipsis + bullet + curly_brace + digit_ratio + alpha_ratio) / 12, 4) AS mean_all,
+  round((word_rep + n + alpha_ratio) / 3, 4) AS mean_three FROM ({_SCORES}) JOIN {_CHAR_REP} USING (doc_id)""")
+def quality_mean(spark, sf_dir):
+    """The mean over all rules, and over the enabled ones."""
+    out = quality.with_quality(_docs(spark, sf_dir))
+    return out.select("doc_id", F.round(quality.mean_quality(), 4).alias("mean_all"), F.round(quality.mean_quality(rules=("word_rep", "min_words", "alpha_ratio")), 4).alias("mean_three"))
+
+
+@query(f"""SELECT doc_id, round(CASE WHEN len(p) < 3 THEN 0.0 ELSE (len(p) - len(list_distinct(p)))::DOUBLE / len(p) END, 6) AS paragraph_rep
+FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\n{_WS}*\n'), lambda x: regexp_matches(x, '{_NWS}')) AS p FROM documents)""")
+def paragraph_repetition(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.round(quality.paragraph_repetition(F.coalesce("text", F.lit(""))), 6).alias("paragraph_rep"))
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b'))::BIGINT AS pii_emails_masked,
@@ -102,7 +124,23 @@ def mask_emails(spark, sf_dir):
     return masking.mask_addresses(_docs(spark, sf_dir), ips=False).select("doc_id", "pii_emails_masked", F.md5("text").alias("masked"))
 
 
-@query()
+_OCT = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+_EMAIL_SQL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+_IPV4_SQL = rf"\b(?:{_OCT}\.){{3}}{_OCT}\b"
+
+
+def _masked_sql(text: str) -> str:
+    """The text with emails masked and, of addresses of private networks, the first dot set aside (as chr(2)), so that they don't match; RE2 cannot look ahead."""
+    mail = f"regexp_replace({text}, '{_EMAIL_SQL}', '[EMAIL]', 'g')"
+    return rf"regexp_replace({mail}, '(^|[^0-9.])(10|127|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.', '\1\2' || chr(2), 'g')"
+
+
+def _all_masked_sql(text: str) -> str:
+    return f"replace(regexp_replace({_masked_sql(text)}, '{_IPV4_SQL}', '[IP_ADDRESS]', 'g'), chr(2), '.')"
+
+
+@query(f"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{_EMAIL_SQL}'))::BIGINT AS pii_emails_masked, len(regexp_extract_all(coalesce({_masked_sql("text")}, ''), '{_IPV4_SQL}'))::BIGINT AS pii_ips_masked,
+  md5({_all_masked_sql("text")}) AS masked FROM documents""")
 def mask_all(spark, sf_dir):
     return masking.mask_addresses(_docs(spark, sf_dir)).select("doc_id", "pii_emails_masked", "pii_ips_masked", F.md5("text").alias("masked"))
 
@@ -122,7 +160,26 @@ def language_reasons(spark, sf_dir):
     return marked.groupBy(F.coalesce("reject_reason", F.lit("passes")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query()
+_MASK_TEXT = "CASE WHEN doc_id % 3 = 0 THEN text || ' from 10.1.2.3 and 8.8.4.4, ' || (doc_id % 256) || '.20.30.40 or 172.31.0.9' ELSE text END"
+
+
+@query(f"""SELECT sum(len(regexp_extract_all(coalesce(text, ''), '{_EMAIL_SQL}')))::BIGINT AS emails_masked, sum(len(regexp_extract_all(coalesce({_masked_sql("t")}, ''), '{_IPV4_SQL}')))::BIGINT AS ips_masked
+FROM (SELECT text, {_MASK_TEXT} AS t FROM documents)""")
+def mask_totals(spark, sf_dir):
+    """The numbers of masks, on texts of which a third has addresses of public and private networks added."""
+    return masking.mask_totals(masking.mask_addresses(_docs(spark, sf_dir).withColumn("text", F.expr(_MASK_TEXT))))
+
+
+def _language_sql(rows: str) -> str:
+    counts = ", ".join("{'n': len(list_filter(lw, lambda x: x IN (" + ", ".join(f"'{w}'" for w in words.split()) + f"))), 'l': '{lang}'}}" for lang, words in annotate.STOP_WORDS.items())
+    return f"""(SELECT * EXCLUDE (lw, ls, best, tot), CASE WHEN tot > 0 THEN best.l ELSE 'unknown' END AS language, CASE WHEN tot > 0 THEN round(best.n::DOUBLE / tot, 4) ELSE 0.0 END AS language_score
+  FROM (SELECT *, list_aggregate(ls, 'max') AS best, list_sum(list_transform(ls, lambda x: x.n)) AS tot FROM (SELECT *, [{counts}] AS ls FROM (SELECT *, {_LOW} AS lw FROM {rows}))))"""
+
+
+_LOW = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_WS}+'), lambda w: w <> '')"
+
+
+@query(f"SELECT doc_id, language, language_score FROM {_language_sql('documents')}")
 def language_detect(spark, sf_dir):
     return annotate.with_language(_docs(spark, sf_dir)).select("doc_id", "language", "language_score")
 
@@ -194,29 +251,40 @@ def slice_tags(spark, sf_dir):
     return _sliced(spark, sf_dir).select("doc_id", F.array_join("slice_tags", "|").alias("tags"))
 
 
-_STATS = "count(*)::BIGINT AS doc_count, coalesce(sum(token_count), 0)::BIGINT AS token_count"
+#: Every tenth document counts as dropped by deduplication, every fifteenth by decontamination.
+_KEPT = "(doc_id % 10 <> 0 AND doc_id % 15 <> 0)"
+_STATS = f"""count(*) FILTER ({_KEPT})::BIGINT AS doc_count, coalesce(sum(token_count) FILTER ({_KEPT}), 0)::BIGINT AS token_count,
+  CASE WHEN count(*) FILTER ({_KEPT}) > 0 THEN round(coalesce(sum(q) FILTER ({_KEPT}), 0) / count(*) FILTER ({_KEPT}), 4) ELSE 0.0 END AS avg_quality_score,
+  count(*) FILTER (doc_id % 10 = 0)::BIGINT AS dedup_dropped, count(*) FILTER (doc_id % 15 = 0)::BIGINT AS decontam_dropped,
+  CASE WHEN count(*) FILTER (doc_id % 10 = 0) + count(*) FILTER ({_KEPT}) > 0 THEN round(count(*) FILTER (doc_id % 10 = 0)::DOUBLE / (count(*) FILTER (doc_id % 10 = 0) + count(*) FILTER ({_KEPT})), 4) ELSE 0.0 END AS dedup_drop_rate,
+  CASE WHEN count(*) FILTER (doc_id % 15 = 0) + count(*) FILTER ({_KEPT}) > 0 THEN round(count(*) FILTER (doc_id % 15 = 0)::DOUBLE / (count(*) FILTER (doc_id % 15 = 0) + count(*) FILTER ({_KEPT})), 4) ELSE 0.0 END AS decontam_drop_rate"""
+
+
+def _marked(spark, sf_dir):
+    # qualities in eighths: their sums are exact, so no mean depends on the order of summation
+    rows = _sliced(spark, sf_dir).withColumn("mean_quality", F.floor(F.coalesce(F.nanvl("mean_quality", F.lit(0.0)), F.lit(0.0)) * 8) / 8)
+    return rows.withColumn("dedup_dropped", F.col("doc_id") % 10 == 0).withColumn("decontam_dropped", F.col("doc_id") % 15 == 0)
 
 
-def _rounded(stats: DataFrame, *keys: str) -> DataFrame:
-    return stats.select(*keys, "doc_count", "token_count")
+_MARKED = f"(SELECT * REPLACE (CASE WHEN q IS NULL OR isnan(q) THEN 0 ELSE floor(q * 8) / 8 END AS q) FROM {_TAGS})"
 
 
-@query(f"SELECT slice, {_STATS} FROM (SELECT unnest(tags) AS slice, token_count, q FROM {_TAGS}) GROUP BY slice")
+@query(f"SELECT slice, {_STATS} FROM (SELECT doc_id, unnest(tags) AS slice, token_count, q FROM {_MARKED}) GROUP BY slice")
 def slice_stats(spark, sf_dir):
-    return _rounded(slices.slice_stats(_sliced(spark, sf_dir)), "slice")
+    return slices.slice_stats(_marked(spark, sf_dir))
 
 
-@query(f"SELECT {_STATS} FROM {_TAGS}")
+@query(f"SELECT {_STATS} FROM {_MARKED}")
 def total_stats(spark, sf_dir):
-    return _rounded(slices.total_stats(_sliced(spark, sf_dir)))
+    return slices.total_stats(_marked(spark, sf_dir))
 
 
-@query(f"""WITH s AS (SELECT slice, count(*) AS d, coalesce(sum(token_count), 0) AS t FROM (SELECT unnest(tags) AS slice, token_count FROM {_TAGS}) GROUP BY slice), a AS (SELECT count(*) AS d, sum(token_count) AS t FROM {_TAGS})
-SELECT slice, round(s.t::DOUBLE / a.t, 6) AS token_fraction, round(s.d::DOUBLE / a.d, 6) AS doc_fraction FROM s, a""")
+@query(f"""WITH s AS (SELECT slice, {_STATS} FROM (SELECT doc_id, unnest(tags) AS slice, token_count, q FROM {_MARKED}) GROUP BY slice), a AS (SELECT {_STATS} FROM {_MARKED})
+SELECT slice, round(s.token_count::DOUBLE / a.token_count, 6) AS token_fraction, round(s.doc_count::DOUBLE / a.doc_count, 6) AS doc_fraction, s.avg_quality_score AS avg_quality FROM s, a""")
 def composition(spark, sf_dir):
-    rows = materialize(_sliced(spark, sf_dir))
+    rows = materialize(_marked(spark, sf_dir))
     out = slices.composition(slices.slice_stats(rows), slices.total_stats(rows))
-    return out.select("slice", F.round("token_fraction", 6).alias("token_fraction"), F.round("doc_fraction", 6).alias("doc_fraction"))
+    return out.select("slice", F.round("token_fraction", 6).alias("token_fraction"), F.round("doc_fraction", 6).alias("doc_fraction"), "avg_quality")
 
 
 @query("""WITH s AS (SELECT source, sum(n_chars)::DOUBLE AS t FROM documents WHERE source IS NOT NULL AND n_chars > 0 GROUP BY source)
@@ -229,9 +297,9 @@ def diversity(spark, sf_dir):
 
 @query("""SELECT domain, n::BIGINT AS n, round(n::DOUBLE / sum(n) OVER (), 6) AS share FROM (SELECT coalesce(split_part(source, '_', 1), 'unknown') AS domain, count(*) AS n FROM documents GROUP BY 1)""")
 def composition_ratios(spark, sf_dir):
-    by = _docs(spark, sf_dir).groupBy(F.coalesce(F.split("source", "_")[0], F.lit("unknown")).alias("domain")).agg(F.count("*").alias("n"))
-    # one row per domain
-    return by.select("domain", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6).alias("share"))
+    """A13."""
+    docs = _docs(spark, sf_dir).select(F.split("source", "_")[0].alias("domain"))
+    return slices.composition_ratios(docs, "domain").select("domain", "n", F.round("share", 6).alias("share"))
 
 
 @query("SELECT language, dump, count(*)::BIGINT AS n_docs, coalesce(sum(token_count), 0)::BIGINT AS n_tokens FROM " + _LAST + " GROUP BY ROLLUP (language, dump)")
@@ -305,9 +373,22 @@ def embedding_pairs(spark, sf_dir):
     return semantic.similar_embeddings(table(spark, sf_dir, "embeddings"), 0.4).select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
-@query()
+def _greedy_sql(nodes: str, edges: str) -> str:
+    """The greedy rule gone through one by one: nodes with an earlier neighbour in order, each kept if none of these neighbours is."""
+    return f"""e AS MATERIALIZED ({edges}), later AS MATERIALIZED (SELECT b, list(a) AS near, row_number() OVER (ORDER BY b) AS k FROM e GROUP BY b),
+start AS (SELECT DISTINCT a FROM e WHERE a NOT IN (SELECT b FROM later)),
+r AS (SELECT 0::BIGINT AS k, (SELECT coalesce(list(a), []) FROM start) AS kept UNION ALL
+  SELECT later.k, CASE WHEN list_has_any(r.kept, later.near) THEN r.kept ELSE list_append(r.kept, later.b) END FROM r JOIN later ON later.k = r.k + 1),
+done AS (SELECT kept FROM r ORDER BY k DESC LIMIT 1)
+SELECT node, node NOT IN (SELECT b FROM later) OR list_contains((SELECT kept FROM done), node) AS kept FROM ({nodes})"""
+
+
+_COSINE = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4 - 1e-12"
+
+
+@query("WITH RECURSIVE " + _greedy_sql("SELECT vec_id AS node FROM embeddings", _COSINE))
 def semantic_dedup(spark, sf_dir):
-    return semantic.semantic_dedup(table(spark, sf_dir, "embeddings"), 0.4)
+    return semantic.semantic_dedup(table(spark, sf_dir, "embeddings"), 0.4, exact=True)
 
 
 @query()
@@ -315,7 +396,13 @@ def semantic_dedup_indexed(spark, sf_dir):
     return semantic.semantic_dedup(table(spark, sf_dir, "embeddings"), 0.4, exact=False)
 
 
-@query()
+_SHINGLES = f"""SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k, any_value(x.n) AS n, any_value(y.n) AS m FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2) WHERE k >= 0.8 * (n + m - k) - 1e-9"""
+
+
+@query(
+    f"WITH RECURSIVE sh AS MATERIALIZED (SELECT doc_id, unnest(gs) AS g, len(gs) AS n FROM (SELECT doc_id, list_distinct({_grams_sql('w', 3)}) AS gs FROM (SELECT doc_id, {_LOW} AS w FROM documents))), "
+    + _greedy_sql("SELECT doc_id AS node FROM documents", _SHINGLES)
+)
 def shingle_dedup(spark, sf_dir):
     return semantic.shingle_dedup(_docs(spark, sf_dir))
 
@@ -327,16 +414,17 @@ def _evaluation(spark, sf_dir):
     return table(spark, sf_dir, "eval_items").select("item_id", F.lower(F.trim("target")).alias("source"), F.col("question").alias("text"))
 
 
-def _grams_sql(words: str, n: int) -> str:
-    return f"(CASE WHEN len({words}) = 0 THEN [] WHEN len({words}) < {n} THEN [array_to_string({words}, ' ')] ELSE list_transform(range(1, len({words}) - {n} + 2), lambda i: array_to_string(list_slice({words}, i, i + {n} - 1), ' ')) END)"
 
 
-_LOW = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_WS}+'), lambda w: w <> '')"
-_OVERLAP = f"""
-WITH idx AS (SELECT g, arg_min(source, (item_id, source)) AS eval_source FROM (SELECT item_id, lower(trim(target)) AS source, unnest({_grams_sql("w", 8)}) AS g FROM (SELECT *, {_LOW.replace("text", "question")} AS w FROM eval_items)) GROUP BY g),
-dg AS (SELECT doc_id, unnest(gs) AS g, generate_subscripts(gs, 1) - 1 AS pos, len(gs) AS total FROM (SELECT doc_id, {_grams_sql("w", 8)} AS gs FROM (SELECT doc_id, {_LOW} AS w FROM documents))),
+def _overlap_sql(n: int, rows: str = "documents") -> str:
+    """CTEs idx, dg and o: the index of evaluation questions, the runs of the documents, and their overlap."""
+    return f"""idx AS (SELECT g, arg_min(source, (item_id, source)) AS eval_source FROM (SELECT item_id, lower(trim(target)) AS source, unnest({_grams_sql("w", n)}) AS g FROM (SELECT *, {_LOW.replace("text", "question")} AS w FROM eval_items)) GROUP BY g),
+dg AS (SELECT doc_id, unnest(gs) AS g, generate_subscripts(gs, 1) - 1 AS pos, len(gs) AS total FROM (SELECT doc_id, {_grams_sql("w", n)} AS gs FROM (SELECT doc_id, {_LOW} AS w FROM {rows}))),
 o AS (SELECT doc_id, count(DISTINCT g)::DOUBLE / max(total) AS overlap_score, count(DISTINCT g)::BIGINT AS matched, arg_min(eval_source, pos) AS eval_source, list_slice(list(g ORDER BY pos), 1, 10) AS grams FROM dg JOIN idx USING (g) GROUP BY doc_id)
 """
+
+
+_OVERLAP = f"WITH {_overlap_sql(8)}"
 _TEN = decontam.DecontamConfig(n=8, threshold=0.05)
 
 
@@ -351,6 +439,20 @@ def decontam_overlap(spark, sf_dir):
     return found.select("doc_id", F.round("overlap_score", 6).alias("overlap_score"), "matched", "eval_source", F.array_join("matched_ngrams", "|").alias("grams"))
 
 
+@query(f"WITH {_overlap_sql(13)} SELECT doc_id, round(overlap_score, 6) AS overlap_score, matched, eval_source, overlap_score >= 0.8 AS is_contaminated FROM o")
+def decontam_default(spark, sf_dir):
+    """C3 with the default run length and threshold."""
+    c = decontam.DecontamConfig()
+    found = decontam.overlaps(_docs(spark, sf_dir), _index(spark, sf_dir, c), c)
+    return found.select("doc_id", F.round("overlap_score", 6).alias("overlap_score"), "matched", "eval_source", (F.col("overlap_score") >= c.threshold).alias("is_contaminated"))
+
+
+@query(f"WITH {_overlap_sql(13)} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM o WHERE overlap_score >= 0.8)")
+def decontam_default_drop(spark, sf_dir):
+    c = decontam.DecontamConfig()
+    return decontam.decontaminate(_docs(spark, sf_dir), _index(spark, sf_dir, c), c).select("doc_id")
+
+
 @query(_OVERLAP + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM o WHERE overlap_score >= 0.05)")
 def decontam_drop(spark, sf_dir):
     return decontam.decontaminate(_docs(spark, sf_dir), _index(spark, sf_dir, _TEN), _TEN).select("doc_id")
@@ -376,15 +478,17 @@ def decontam_redact(spark, sf_dir):
     return decontam.decontaminate(_docs(spark, sf_dir), _index(spark, sf_dir, config), config).select("doc_id", F.md5("text").alias("redacted"))
 
 
-@query(_OVERLAP + "SELECT eval_source, n AS docs_checked, count(*)::BIGINT AS docs_contaminated, round(count(*)::DOUBLE / n, 6) AS contamination_rate FROM o, (SELECT count(*)::BIGINT AS n FROM documents) WHERE overlap_score >= 0.05 GROUP BY GROUPING SETS ((eval_source, n), (n))")
+@query(_OVERLAP + "SELECT eval_source, n AS docs_checked, count(*)::BIGINT AS docs_contaminated, round(count(*)::DOUBLE / n, 6) AS contamination_rate, count(*)::BIGINT AS dropped, 0::BIGINT AS tagged FROM o, (SELECT count(*)::BIGINT AS n FROM documents) WHERE overlap_score >= 0.05 GROUP BY GROUPING SETS ((eval_source, n), (n))")
 def decontam_stats(spark, sf_dir):
     out = decontam.contamination_stats(_docs(spark, sf_dir), _index(spark, sf_dir, _TEN), _TEN)
-    return out.select("eval_source", "docs_checked", "docs_contaminated", F.round("contamination_rate", 6).alias("contamination_rate"))
+    return out.select("eval_source", "docs_checked", "docs_contaminated", F.round("contamination_rate", 6).alias("contamination_rate"), "dropped", "tagged")
 
 
-@query(_OVERLAP + "SELECT doc_id, eval_source, left(text, 200) AS doc_preview, 'drop' AS action_taken FROM o JOIN documents USING (doc_id) WHERE overlap_score >= 0.05")
+@query(_OVERLAP + "SELECT doc_id, eval_source, round(overlap_score, 6) AS overlap_score, matched, array_to_string(grams, '|') AS grams, left(text, 200) AS doc_preview, 'drop' AS action_taken FROM o JOIN documents USING (doc_id) WHERE overlap_score >= 0.05")
 def decontam_audit(spark, sf_dir):
-    return decontam.audit(_docs(spark, sf_dir), _index(spark, sf_dir, _TEN), _TEN).select("doc_id", "eval_source", "doc_preview", "action_taken")
+    return decontam.audit(_docs(spark, sf_dir), _index(spark, sf_dir, _TEN), _TEN).select(
+        "doc_id", "eval_source", F.round("overlap_score", 6).alias("overlap_score"), "matched", F.array_join("matched_ngrams", "|").alias("grams"), "doc_preview", "action_taken"
+    )
 
 
 @query(
@@ -448,8 +552,7 @@ def ratio_mix(spark, sf_dir):
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) - 1 AS position FROM documents")
 def training_order(spark, sf_dir):
     """The position of each document in the shuffled order."""
-    docs = _docs(spark, sf_dir).select("doc_id", F.md5(F.concat_ws(":", F.lit("7"), F.col("doc_id").cast("string"))).alias("h"))
-    return running_total_by_order(docs, ["h", "doc_id"], F.lit(1), "position").select("doc_id", F.col("position").cast("bigint").alias("position"))
+    return tables.training_order(_docs(spark, sf_dir), 7, "doc_id").select("doc_id", "position")
 
 
 @query("""SELECT s.shard_id, s.stated::BIGINT AS stated, coalesce(d.n, 0)::BIGINT AS actual FROM (SELECT shard_id, max(doc_count) AS stated FROM shards GROUP BY shard_id) s LEFT JOIN (SELECT shard_id, count(*) AS n FROM documents GROUP BY shard_id) d USING (shard_id)""")
@@ -471,12 +574,13 @@ def _scores(spark, sf_dir):
     return by.agg(d.alias("score"), (d - F.stddev_samp("l_discount")).alias("ci_low"), (d + F.stddev_samp("l_discount")).alias("ci_high"))
 
 
-@query(f"""SELECT run_id, round(sum(score * w) / sum(w), 6) AS score_total, round(sum(score * w) / sum(w) - 1.96 * sqrt(sum(power(w * (ci_high - ci_low) / 3.92, 2))) / sum(w), 6) AS ci_low, count(*)::BIGINT AS num_tasks
+@query(f"""SELECT run_id, round(sum(score * w) / sum(w), 6) AS score_total, round(sum(score * w) / sum(w) - 1.96 * sqrt(sum(power(w * (ci_high - ci_low) / 3.92, 2))) / sum(w), 6) AS ci_low,
+  round(sum(score * w) / sum(w) + 1.96 * sqrt(sum(power(w * (ci_high - ci_low) / 3.92, 2))) / sum(w), 6) AS ci_high, count(*)::BIGINT AS num_tasks
 FROM (SELECT *, CASE task WHEN 'AF' THEN 2.0 WHEN 'NO' THEN 0.5 ELSE 1.0 END AS w FROM {_EVAL}) GROUP BY run_id""")
 def eval_weighted_mean(spark, sf_dir):
     weights = spark.createDataFrame([("AF", 2.0), ("NO", 0.5)], "task string, weight double")
     out = evals.aggregate_scores(_scores(spark, sf_dir), weights)
-    return out.select("run_id", F.round("score_total", 6).alias("score_total"), F.round("ci_low", 6).alias("ci_low"), "num_tasks")
+    return out.select("run_id", F.round("score_total", 6).alias("score_total"), F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"), "num_tasks")
 
 
 @query(f"SELECT run_id, round(exp(avg(ln(greatest(score, 1e-10)))), 6) AS score_total FROM {_EVAL} GROUP BY run_id")
@@ -499,9 +603,26 @@ _LIMITS = search.Constraints(30.0, 0.01, 200_000_000, 0.3)
 _VIOLATION = "greatest(compute_cost - 30, 0) + greatest(contamination_rate - 0.01, 0) + greatest(200000000 - dataset_tokens, 0) + greatest(0.3 - diversity_score, 0)"
 
 
-@query(f"SELECT trial_id, {_VIOLATION} = 0 AS is_feasible, round({_VIOLATION}, 4) AS total_violation FROM {_TRIALS}")
+_NORMALIZED = "greatest(compute_cost - 30, 0) / 30 + greatest(contamination_rate - 0.01, 0) / 0.01 + greatest(200000000 - dataset_tokens, 0) / 200000000 + greatest(0.3 - diversity_score, 0) / 0.3"
+_NAMES = "array_to_string(list_filter([CASE WHEN compute_cost > 30 THEN 'compute_hours' END, CASE WHEN contamination_rate > 0.01 THEN 'contamination_rate' END, CASE WHEN dataset_tokens < 200000000 THEN 'dataset_tokens' END, CASE WHEN diversity_score < 0.3 THEN 'diversity_score' END], lambda x: x IS NOT NULL), '|')"
+
+
+@query(f"SELECT trial_id, {_VIOLATION} = 0 AS is_feasible, round({_VIOLATION}, 4) AS total_violation, round(score - 2 * ({_NORMALIZED}), 4) AS penalized_score, {_NAMES} AS violated FROM {_TRIALS}")
 def trial_constraints(spark, sf_dir):
-    return search.with_violations(_trials(spark, sf_dir), _LIMITS).select("trial_id", "is_feasible", F.round("total_violation", 4).alias("total_violation"))
+    out = search.penalized(_trials(spark, sf_dir), _LIMITS, 2.0)
+    names = F.array_join(F.transform("violations", lambda v: v["constraint"]), "|")
+    return out.select("trial_id", "is_feasible", F.round("total_violation", 4).alias("total_violation"), F.round("penalized_score", 4).alias("penalized_score"), names.alias("violated"))
+
+
+@query(f"SELECT trial_id FROM {_TRIALS} ORDER BY score DESC, trial_id LIMIT 25")
+def trial_top(spark, sf_dir):
+    """The number of trials is the operator's argument."""
+    return search.top_trials(_trials(spark, sf_dir), 25).select("trial_id")
+
+
+@query(f"SELECT trial_id FROM {_TRIALS} WHERE {_VIOLATION} = 0")
+def trial_feasible(spark, sf_dir):
+    return search.feasible(_trials(spark, sf_dir), _LIMITS).select("trial_id")
 
 
 @query(f"SELECT trial_id FROM {_TRIALS} ORDER BY ({_VIOLATION} = 0) DESC, CASE WHEN {_VIOLATION} = 0 THEN -score ELSE {_VIOLATION} END, trial_id LIMIT 50")
@@ -527,7 +648,10 @@ def trial_pruning(spark, sf_dir):
     return search.pruned(reports).select("report_ord", "prune")
 
 
-@query()
+@query("""WITH l AS (SELECT user_id AS trial_id, list({'s': event_id, 'x': value} ORDER BY event_id, value) AS rows FROM events GROUP BY user_id)
+SELECT trial_id, list_reduce(list_prepend({'best': 1e308::DOUBLE, 'bad': 0, 'stop': NULL::BIGINT}, list_transform(rows, lambda r: {'best': r.x, 'bad': 0, 'stop': r.s})),
+  lambda a, r: CASE WHEN a.stop IS NOT NULL THEN a WHEN r.best < a.best - 0.01 THEN {'best': r.best, 'bad': 0, 'stop': NULL::BIGINT}
+    ELSE {'best': a.best, 'bad': a.bad + 1, 'stop': CASE WHEN a.bad + 1 >= 3 THEN r.stop END} END).stop AS stop_step FROM l""")
 def early_stopping(spark, sf_dir):
     reports = table(spark, sf_dir, "events").select(F.col("user_id").alias("trial_id"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
     return search.early_stops(reports)
@@ -581,6 +705,41 @@ def _policy(method: str) -> policy.Policy:
     return policy.Policy("check", language="en", quality=policy.QualityPolicy(min_words=20), dedup=policy.DedupPolicy(method, "global"), decontam=policy.DecontamPolicy(ngram_size=8, overlap_threshold=0.05), max_tokens=10**12)
 
 
+def _policy_sql(scope: str, first: str, caps: str = "", most: int | None = None) -> str:
+    """CTEs f (documents that pass the filters), k (with what became of them) and x (those that statistics count)."""
+    bins = "CASE WHEN n < 128 THEN 'token_bin=tiny' WHEN n < 512 THEN 'token_bin=small' WHEN n < 2048 THEN 'token_bin=medium' ELSE 'token_bin=large' END"
+    certain = "CASE WHEN language_score >= 0.95 THEN 'lang_score_bin=very_high' WHEN language_score >= 0.85 THEN 'lang_score_bin=high' WHEN language_score >= 0.7 THEN 'lang_score_bin=medium' ELSE 'lang_score_bin=low' END"
+    grade = "CASE WHEN q >= 0.8 THEN 'quality_bin=high' WHEN q >= 0.5 THEN 'quality_bin=medium' ELSE 'quality_bin=low' END"
+    ok = f"sum(CASE WHEN live THEN n ELSE 0 END) OVER (PARTITION BY live, {bins} ORDER BY doc_id) - n < CASE {bins} {caps} ELSE 1e18 END" if caps else "true"
+    end = f"(SELECT coalesce(min(doc_id), 9223372036854775807) FROM c WHERE live AND t + n > {most})" if most else "9223372036854775807"
+    return f"""f AS MATERIALIZED (SELECT * REPLACE ({_all_masked_sql("text")} AS text), ['lang=en', {bins}, {certain}, {grade}] || CASE WHEN coalesce(dump, '') <> '' THEN ['dump=' || dump] ELSE [] END AS tags
+  FROM (SELECT *, (word_rep + n + n + alpha) / 4 AS q FROM (SELECT *, len(w) AS n, CASE WHEN len(w) < 10 THEN 0.0 ELSE list_max(map_values(list_aggregate(w, 'histogram')))::DOUBLE / len(w) END AS word_rep,
+    length(regexp_replace(text, '[^\\p{{L}}]', '', 'g'))::DOUBLE / length(text) AS alpha FROM (SELECT *, {_WORDS} AS w FROM {_language_sql("documents")} WHERE language = 'en' AND language_score >= 0.65)))
+  WHERE n BETWEEN 20 AND 100000 AND word_rep <= 0.2 AND alpha >= 0.6),
+g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {scope}, sha256({_NORM}) ORDER BY {first}) > 1 AS dedup_dropped FROM f),
+{_overlap_sql(8, "(SELECT * FROM g WHERE NOT dedup_dropped)")},
+k AS (SELECT g.*, coalesce(overlap_score, 0) >= 0.05 AS decontam_dropped FROM g LEFT JOIN o USING (doc_id)),
+a AS (SELECT *, NOT dedup_dropped AND NOT decontam_dropped AS live FROM k), b AS (SELECT *, live AND {ok} AS chosen FROM a),
+c AS (SELECT *, coalesce(sum(CASE WHEN chosen THEN n ELSE 0 END) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM b),
+x AS (SELECT * FROM c WHERE (chosen OR NOT live) AND doc_id < {end})"""
+
+
+_POLICY_STATS = """SELECT slice, count(*) FILTER (chosen)::BIGINT AS doc_count, coalesce(sum(n) FILTER (chosen), 0)::BIGINT AS token_count,
+  round(coalesce(avg(q) FILTER (chosen), 0), 2) AS avg_quality_score, count(*) FILTER (dedup_dropped)::BIGINT AS dedup_dropped, count(*) FILTER (decontam_dropped)::BIGINT AS decontam_dropped
+FROM (SELECT *, unnest(tags) AS slice FROM x) GROUP BY slice"""
+
+
+def _policy(method: str, scope: str = "global", keep: str = "first", **more) -> policy.Policy:
+    return policy.Policy(
+        "check", language="en", quality=policy.QualityPolicy(min_words=20), dedup=policy.DedupPolicy(method, scope, keep_rule=keep), decontam=policy.DecontamPolicy(ngram_size=8, overlap_threshold=0.05),
+        **{"max_tokens": 10**12, **more},
+    )
+
+
+def _policy_stats(done: policy.Curated) -> DataFrame:
+    return done.slice_stats().select("slice", "doc_count", "token_count", F.round("avg_quality_score", 2).alias("avg_quality_score"), "dedup_dropped", "decontam_dropped")
+
+
 @query()
 def execute_policy(spark, sf_dir):
     """G5 with MinHash: the documents kept."""
@@ -588,16 +747,58 @@ def execute_policy(spark, sf_dir):
     return done.documents.select("doc_id", "token_count", "language", F.array_join("slice_tags", "|").alias("tags"))
 
 
-@query()
+@query("WITH " + _policy_sql("1", "doc_id") + _POLICY_STATS)
 def execute_policy_stats(spark, sf_dir):
     """G5 with exact deduplication: statistics per slice."""
-    return policy.execute(_docs(spark, sf_dir).drop("lang"), _policy("exact"), _evaluation(spark, sf_dir)).slice_stats()
+    return _policy_stats(policy.execute(_docs(spark, sf_dir).drop("lang"), _policy("exact"), _evaluation(spark, sf_dir)))
 
 
-@query()
+@query("WITH " + _policy_sql("coalesce(nullif(dump, ''), 'unknown')", "length(text) DESC, doc_id DESC") + "SELECT doc_id, n::BIGINT AS token_count, md5(text) AS text, array_to_string(list_sort(tags), '|') AS tags FROM x WHERE chosen")
+def policy_longest_per_dump(spark, sf_dir):
+    """Within each dump the longest of equal texts, the last of ties."""
+    done = policy.execute(_docs(spark, sf_dir).drop("lang"), _policy("exact", "per_dump", "longest"), _evaluation(spark, sf_dir))
+    return done.documents.select("doc_id", "token_count", F.md5("text").alias("text"), F.array_join("slice_tags", "|").alias("tags"))
+
+
+_SLICE_CAPS = {"token_bin=tiny": 2_000, "token_bin=medium": 30_000}
+
+
+@query("WITH " + _policy_sql("1", "doc_id", "WHEN 'token_bin=tiny' THEN 2000 WHEN 'token_bin=medium' THEN 30000", 60_000) + _POLICY_STATS)
+def policy_caps_stats(spark, sf_dir):
+    """G5 with caps and a budget: documents after the one that ends the selection count nowhere."""
+    done = policy.execute(_docs(spark, sf_dir).drop("lang"), _policy("exact", max_tokens=60_000, max_tokens_per_slice=_SLICE_CAPS), _evaluation(spark, sf_dir))
+    return _policy_stats(done)
+
+
+_SPOKEN = "repeat('the and of is was to in that it with for are ', (1 + vec_id % 5)::INT)"
+_NEAR = "SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND a.vec_id % 3 = b.vec_id % 3 WHERE list_cosine_similarity(a.e, b.e) >= 0.9 - 1e-12"
+
+
+@query(
+    "WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN i <= 3 THEN x ELSE 0 END) AS e FROM embeddings), g AS MATERIALIZED (WITH RECURSIVE "
+    + _greedy_sql("SELECT vec_id AS node FROM v", _NEAR)
+    + f"""), p AS ({_NEAR}), c AS (SELECT node, CASE WHEN kept THEN node ELSE (SELECT min(a) FROM p JOIN g k ON k.node = p.a AND k.kept WHERE p.b = g.node) END AS cluster FROM g)
+SELECT node AS doc_id, cluster::VARCHAR AS dedup_cluster_id, (12 * (1 + node % 5))::BIGINT AS token_count FROM c QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY length({_SPOKEN.replace('vec_id', 'node')}) DESC, node DESC) = 1"""
+)
+def policy_semantic_longest(spark, sf_dir):
+    """Of each greedy cluster of a dump the longest text. Documents are made of the ids, vectors are the first three dimensions."""
+    v = table(spark, sf_dir, "embeddings")
+    made = v.select(F.col("vec_id").alias("doc_id"), F.expr(_SPOKEN).alias("text"), (F.col("vec_id") % 3).cast("string").alias("dump"), F.lit("en").alias("language"), F.lit(1.0).alias("language_score"))
+    p = _policy("semantic", "per_dump", "longest")
+    p.quality.enabled_rules, p.quality.min_words, p.decontam.enabled = ["min_words"], 1, False
+    short = v.select(F.col("vec_id").alias("doc_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("embedding"))
+    return policy.execute(made, p, embeddings=short).documents.select("doc_id", "dedup_cluster_id", "token_count")
+
+
+@query(f"""WITH d AS (SELECT *, {_WORDS} AS w FROM {_language_sql("(SELECT * FROM documents ORDER BY doc_id LIMIT 1000)")}),
+s AS (SELECT *, language = 'en' AND language_score >= 0.65 AS spoken, language = 'en' AND language_score >= 0.65 AND len(w) BETWEEN 20 AND 100000 AND (len(w) < 10 OR list_max(map_values(list_aggregate(w, 'histogram')))::DOUBLE / len(w) <= 0.2)
+  AND length(regexp_replace(text, '[^\\p{{L}}]', '', 'g'))::DOUBLE / length(text) >= 0.6 AS good FROM d)
+SELECT count(*)::BIGINT AS docs, count(*) FILTER (spoken)::BIGINT AS after_language, count(*) FILTER (good)::BIGINT AS after_quality, round(avg(len(w)) FILTER (good), 4) AS mean_tokens,
+  round(count(*) FILTER (good)::DOUBLE / count(*), 4) AS retention, floor(count(*) FILTER (good)::DOUBLE / count(*) * 1e12 / (avg(len(w)) FILTER (good)))::BIGINT AS projected_tokens FROM s""")
 def policy_dry_run(spark, sf_dir):
-    docs = _docs(spark, sf_dir).drop("lang")
-    return policy.dry_run(docs, _policy("exact"), 1000)
+    """The first 1,000 documents are the operator's argument."""
+    out = policy.dry_run(_docs(spark, sf_dir).drop("lang"), _policy("exact"), 1000)
+    return out.withColumn("mean_tokens", F.round("mean_tokens", 4)).withColumn("projected_tokens", F.col("projected_tokens").cast("bigint"))
 
 
 @query(f"SELECT count(*)::BIGINT AS n FROM (SELECT DISTINCT sha256({_NORM}) FROM documents)")
@@ -606,10 +807,11 @@ def stream_exact_dedup(spark, sf_dir):
     from loamworks.streaming import stream_exact_dedup as dedup_stream
 
     source = _docs(spark, sf_dir)
-    src, out, mark = (f"{shared_dir(spark)}/stream-{id(source)}-{k}" for k in ("in", "out", "mark"))
+    src, out, mark = (step_path(spark, f"stream-{k}") for k in ("in", "out", "mark"))
     # the rows without a time get one, so that the watermark keeps them
     source.select("doc_id", "text", F.coalesce("crawled_at", F.timestamp_seconds(F.lit(0))).alias("crawled_at")).write.mode("overwrite").parquet(src)
     stream = spark.readStream.schema("doc_id bigint, text string, crawled_at timestamp").parquet(src)
+    # the whole table is one batch of any age, so the watermark spans all of it
     run = dedup_stream(stream, delay="36500 days").writeStream.format("parquet").option("checkpointLocation", mark).trigger(availableNow=True).start(out)
     run.awaitTermination()
     return spark.read.schema("doc_id bigint, text string, crawled_at timestamp, content_hash string").parquet(out).agg(F.count("*").alias("n"))

@@ -19,8 +19,13 @@ _STEPS: list[set[str]] = [set()]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named Parquet table of a data directory."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The named Parquet table of a data directory.
+
+    Documents, whose texts are the work, are dealt out to all cores if their files give less than half of them something to do.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
