@@ -11,13 +11,14 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamworks.llm.language import guess_languages
+from loamworks.llm.batches import pieces
+from loamworks.llm.language import LanguageModel, clean_language, fit_language_model
 
+#: Where the vocabulary lies on the driver, unless the session's ``loamworks.tokenizer`` names another file; workers are sent a copy.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern by which this vocabulary was split.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -34,40 +35,47 @@ def encoding(path: str):
 
 
 def count_tokens(texts: list[str | None], path: str) -> list[int | None]:
-    encode = encoding(path).encode_ordinary
-    return [None if t is None else len(encode(t)) for t in texts]
+    """Tokens of each whole text; all texts are handed to the encoder at once."""
+    counts = iter([len(x) for x in encoding(path).encode_ordinary_batch([t for t in texts if t is not None], num_threads=1)])
+    return [None if t is None else next(counts) for t in texts]
 
 
-def with_token_counts(documents: DataFrame, keep: list[str], tokenizer: str = TOKENIZER, languages: bool = False) -> DataFrame:
-    """The columns ``keep`` with ``token_count`` and, if asked, ``text_lang`` (null where the text tells nothing)."""
+def with_token_counts(documents: DataFrame, keep: list[str], tokenizer: str | None = None, languages: LanguageModel | None = None) -> DataFrame:
+    """The columns ``keep`` with ``token_count`` and, given profiles, ``text_lang`` (null where the text tells nothing)."""
+    spark = documents.sparkSession
+    path = tokenizer or spark.conf.get("loamworks.tokenizer", TOKENIZER)
+    spark.sparkContext.addFile(path)
+    name = path.rsplit("/", 1)[-1]
     wanted = documents.select(*keep, F.col("text").alias("_text"))
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema.fields[:-1]] + ["token_count bigint"] + ["text_lang string"] * languages
-    names = [*keep, "token_count"] + ["text_lang"] * languages
+    told = languages is not None
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema.fields[:-1]] + ["token_count bigint"] + ["text_lang string"] * told
+    names = [*keep, "token_count"] + ["text_lang"] * told
 
     def run(batches):
+        from pyspark import SparkFiles
+
+        local = SparkFiles.get(name)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            columns = [batch.column(k) for k in range(len(keep))] + [pa.array(count_tokens(texts, tokenizer), pa.int64())]
-            if languages:
-                columns.append(pa.array(guess_languages(texts), pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for part in pieces(batch, len(keep), 4096):
+                texts = part.column(len(keep)).to_pylist()
+                columns = [part.column(k) for k in range(len(keep))] + [pa.array(count_tokens(texts, local), pa.int64())]
+                if told:
+                    columns.append(pa.array(languages.guess(texts), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return wanted.mapInArrow(run, ", ".join(fields))
 
 
-def clean_language(c: Column) -> Column:
-    """The two letters of a stored language code, or null."""
-    code = F.regexp_extract(F.lower(F.trim(c)), r"^([a-z]{2})(?:[-_].*)?$", 1)
-    return F.nullif(code, F.lit(""))
-
-
 def clean_name(c: Column) -> Column:
     return F.nullif(F.lower(F.trim(c)), F.lit(""))
 
 
-def document_tokens(documents: DataFrame, records: DataFrame, catalog: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, token_count, source, language and domain of every document; unknown ones are ``unknown``."""
-    counted = with_token_counts(documents, ["doc_id", "lang", "source"], tokenizer, languages=True)
+def document_tokens(documents: DataFrame, records: DataFrame, catalog: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, token_count, source, language and domain of every document; unknown ones are ``unknown``.
+
+    The language is that of the text's trigrams, where these leave no doubt, else the stored one.
+    """
+    counted = with_token_counts(documents, ["doc_id", "lang", "source"], tokenizer, fit_language_model(documents))
     known = records.where("doc_id IS NOT NULL").select("doc_id", clean_name(F.col("source")).alias("s"), "fetched_at", "record_id").where("s IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max_by("s", F.struct("fetched_at", "record_id", "s")).alias("record_source"))
     out = counted.join(known, "doc_id", "left").select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loamworks.llm import fm_index, leaks, mixing, packing, personal, quality, reading, representatives, setjoin, shingles, tokens
 from loamworks.llm import near_duplicates as near
 from loamworks.llm.boosting import fit_boosted
-from loamworks.llm.language import guess_language
+from loamworks.llm import language
 
 DOCS = "doc_id bigint, text string, lang string, source string, extra string"
 
@@ -173,7 +173,23 @@ def test_tokens(spark):
     cube = {(r["source"], r["language"], r["domain"]): r for r in tokens.token_budget(tokens.document_tokens(df, records, catalog)).collect()}
     assert cube["all", "all", "all"]["n_docs"] == 4 and cube["all", "all", "all"]["n_texts"] == 3
     assert enc.decode(enc.encode_ordinary("Ünïcode\n\ttext ")) == "Ünïcode\n\ttext "
-    assert guess_language("der Hund und die Katze") == "de" and guess_language("") is None
+    assert tokens.count_tokens(["a b", None, "", "c" * 300], tokens.TOKENIZER) == [2, None, 0, len(enc.encode_ordinary("c" * 300))]
+
+
+def test_languages_by_trigrams(spark):
+    rng = random.Random(4)
+    words = {"en": "the quick brown fox and this house with thing water".split(), "de": "der schnelle braune fuchs und dieses haus wasser nicht ich".split(), "it": "questo gatto della casa acqua perche sono molto bello".split()}
+    say = lambda code, n: " ".join(rng.choice(words[code]) for _ in range(n))
+    texts = [say(c, 60) for c in ("en", "de") for _ in range(40)]
+    # one stored code in ten is wrong
+    codes = [c if k % 10 else {"en": "de", "de": "en"}[c] for k, c in enumerate(["en"] * 40 + ["de"] * 40)]
+    model = language.train(texts, codes)
+    assert set(model.names) == {"en", "de"}
+    assert model.guess([say("en", 30), say("de", 30), say("it", 60), "", None, "123 | 456", texts[0] + " " + say("de", 3)]) == ["en", "de", None, None, None, None, "en"]
+    assert language.train([], []).guess(["a", None]) == [None, None]
+    got = language.fit_language_model(docs(spark, *texts, lang=" EN-us "))
+    assert got.names == ("en",) and got.guess([texts[0]]) == ["en"]
+    assert language.fit_language_model(docs(spark, "a").limit(0)).names == ()
 
 
 # 3 personal data
