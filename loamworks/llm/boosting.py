@@ -74,13 +74,20 @@ def _fit(x: np.ndarray, y: np.ndarray, trees: int, depth: int, rate: float, bins
     return Boosted(base, np.array(features), np.array(cuts), np.array(leaves), (np.array([0.0]), np.array([0.5])))
 
 
-def fit_boosted(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.25, bins: int = 16) -> Boosted:
-    """Trees on all rows; probabilities by isotonic regression of scores held out in two folds."""
+def fit_held(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.25, bins: int = 16) -> tuple[Boosted, np.ndarray]:
+    """Trees on all rows, with probabilities by isotonic regression of scores held out in two folds; and each row's held-out probability."""
     order = np.random.default_rng(0).permutation(len(y))
-    x, y = np.asarray(x, float)[order], np.asarray(y, float)[order]
+    a, b = np.asarray(x, float)[order], np.asarray(y, float)[order]
     held = np.empty(len(y))
     for k in (0, 1):
         part = np.arange(len(y)) % 2 == k
-        held[part] = _fit(x[~part], y[~part], trees, depth, rate, bins).raw(x[part])
-    model = _fit(x, y, trees, depth, rate, bins)
-    return Boosted(model.base, model.features, model.cuts, model.leaves, isotonic(held, y))
+        held[part] = _fit(a[~part], b[~part], trees, depth, rate, bins).raw(a[part])
+    model = _fit(a, b, trees, depth, rate, bins)
+    knots = isotonic(held, b)
+    out = np.empty(len(y))
+    out[order] = np.interp(held, *knots)
+    return Boosted(model.base, model.features, model.cuts, model.leaves, knots), out
+
+
+def fit_boosted(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.25, bins: int = 16) -> Boosted:
+    return fit_held(x, y, trees, depth, rate, bins)[0]

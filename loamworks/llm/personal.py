@@ -4,10 +4,14 @@ Generous patterns and name tables propose spans that may overlap. Each kind has
 format and of the text around it; their calibrated probability decides, and of overlapping spans the more probable, then
 the longer one stays. A name inside an email address is part of the address.
 
-There are no labelled spans, so the trees learn from a bounded sample of documents (``TrainConfig``) whose clearest
-candidates are labelled by their cues (``Tel.``, ``living at``, a title, the name table); what no cue decides is left to the
-trees. Whether a word is like a given or a family name is scored by the letters it is made of, learnt from the table of
-names, so names that the table lacks are found too.
+There are no labelled spans, so the trees learn by two views of a bounded sample of documents (``TrainConfig``). Candidates that their own
+format settles (an international number, a control letter that fits, a street with its type, both names in the name table) are
+the first labels. What stands around them (the words before and after, separators, an at sign in the row) teaches trees that see nothing of
+the format; where these are sure, they label candidates that the format leaves open. The final trees see both views and are
+fitted on all labels; their probabilities are calibrated on candidates held out, and so is each kind's threshold. No rule takes part in scoring. The
+words that speak for or against a kind are learnt, not listed. Whether a word is like a given or a family name is scored by the letters it is made of, learnt
+from the table of names, so names that the table lacks are found too. A kind of which the sample teaches nothing (fewer than ``least`` labels of
+either sort) takes the candidates that their format settles.
 
 Null and empty texts have no spans. Whole texts are read, every row on its own; columns not named are ignored.
 """
@@ -25,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamworks.llm.batches import pieces
-from loamworks.llm.boosting import Boosted, fit_boosted
-from loamworks.session import bounded_sample
+from loamworks.llm.boosting import Boosted, fit_boosted, fit_held
+from loamworks.session import bounded_sample, bounded_texts
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
@@ -34,17 +38,99 @@ PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
 @dataclass(frozen=True)
 class TrainConfig:
-    """``documents``: the most documents whose candidates are used for training."""
+    """``documents`` and ``text_bytes``: the most that candidates are taken from for training (texts of over a hundredth of the bytes are not used).
+
+    ``common``: how many of the sample's most frequent words may count as common ones. ``least``: labels of either sort that trees need.
+    ``sure``: from which probability on the trees of the surroundings label a candidate. ``names_bytes``: the most that the name table may hold.
+    """
 
     documents: int = 4000
-    threshold: float = 0.5
+    text_bytes: int = 40_000_000
+    common: int = 20_000
+    least: int = 10
+    sure: float = 0.9
+    names_bytes: int = 32_000_000
+
+
+# --- surroundings ----------------------------------------------------------------------------------------
+
+_BLANK = re.compile(r"\s")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|@|＠")
+
+
+def _back(text: str, at: int, tokens: int, stop: int = 0) -> int:
+    """Where the last ``tokens`` parts between blanks before ``at`` begin; not before ``stop``."""
+    i = at
+    while tokens and i > stop:
+        while i > stop and text[i - 1].isspace():
+            i -= 1
+        while i > stop and not text[i - 1].isspace():
+            i -= 1
+        tokens -= 1
+    return i
+
+
+def _words_of(piece: str) -> list[str]:
+    return ["0" if w[0].isdigit() else w.lower() for w in _TOKEN.findall(piece)]
+
+
+class _Rows:
+    """The rows of a text: where the one of a place begins and ends, and what it holds, found once each."""
+
+    def __init__(self, text: str):
+        self.text, self.known = text, (-1, -1, ())
+
+    def at(self, place: int) -> tuple[int, int, tuple[float, ...]]:
+        a, b, facts = self.known
+        if not a <= place <= b or a < 0:
+            a = self.text.rfind("\n", 0, place) + 1
+            b = self.text.find("\n", place)
+            b = len(self.text) if b < 0 else b
+            row = self.text[a:b]
+            marks = row.count("|") + row.count(";") + row.count("\t")
+            facts = (float(marks > 0), float("@" in row or "＠" in row or "[at]" in row or "(at)" in row), sum(map(str.isdigit, row)) / max(1, len(row)))
+            self.known = a, b, facts
+        return a, b, facts
+
+
+def surroundings(text: str, rows: _Rows, start: int, end: int) -> tuple[tuple[str, ...], tuple[float, ...]]:
+    """The three words before a span and the one after it, and figures of its row; nothing of the span itself. A row's end is a word of its own."""
+    a, b, facts = rows.at(start)
+    head = text[_back(text, start, 4, a) : start]
+    before = ["^", "^", "^", *_words_of(head)][-3:]
+    tail = text[end : end + 24]
+    after = _words_of(tail.partition("\n")[0])[:1] or ["$"]
+    left, right = head.rstrip(" ")[-1:], tail.lstrip(" ")[:1]
+    return (*before, after[0]), (*facts, float(left in ("|", ";", "\t", "")), float(right in ("|", ";", "\t", "\n", "")), float(left in (":", ",")), float(right in (",", ".", ":")))
+
+
+@dataclass
+class Cues:
+    """How much a word at each place speaks for a kind; learnt from labelled candidates."""
+
+    weights: tuple[dict[str, float], ...] = ({}, {}, {}, {})
+
+    @classmethod
+    def learn(cls, words: list[tuple[str, ...]], labels: list[int]) -> Cues:
+        share = (sum(labels) + 0.5) / (len(labels) + 1)
+        out = []
+        for k in range(4):
+            counts: dict[str, list[int]] = {}
+            for w, c in zip(words, labels, strict=True):
+                counts.setdefault(w[k], [0, 0])[c] += 1
+            # four more candidates of the usual share: a word seen once says little
+            out.append({w: float(np.log((n[1] + 4 * share) / (n[0] + 4 * (1 - share))) - np.log(share / (1 - share))) for w, n in counts.items()})
+        return cls(tuple(out))
+
+    def __call__(self, words: tuple[str, ...]) -> list[float]:
+        x = [weights.get(w, 0.0) for weights, w in zip(self.weights, words, strict=True)]
+        return [*x, sum(x[:3])]
 
 
 # --- email -----------------------------------------------------------------------------------------------
 
 _OPEN, _CLOSE = r"[\(\[\{<]\s?", r"\s?[\)\]\}>]"
 _AT = re.compile(rf"\s?(?:[@＠]|&#64;)\s?|\s?{_OPEN}(?:at|arroba|ät)\s?{_CLOSE[3:]}\s?|\s(?:at|arroba)\s(?=[\w\-]+\s(?:dot|punto)\s)", re.I)
-_LOCAL = re.compile(r"[\w.+\-]*\w$")
 _DOT = rf"(?:\.|\s?{_OPEN}(?:dot|punkt|point|punto)\s?{_CLOSE[3:]}\s?|\s(?:dot|punkt|punto)\s)"
 _DOMAIN = re.compile(rf"\w+(?:-+\w+)*(?:{_DOT}\w+(?:-+\w+)*)*", re.I)
 _LAST = re.compile(r"([^\W_]+)$")
@@ -56,25 +142,26 @@ def _emails(text: str) -> list[tuple[int, int, list[float], int | None]]:
     if not any(x in low for x in ("@", "＠", "&#64;", "at)", "at]", "at}", "at>", "at )", "at ]", "ät)", "arroba", " dot ", " punto ")):
         return out
     for m in _AT.finditer(text):
-        left = _LOCAL.search(text, max(0, m.start() - 80), m.start())
+        start = m.start()
+        while start and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+            start -= 1
+        local = text[start : m.start()]
         right = _DOMAIN.match(text, m.end())
-        if not left or not right:
+        if not local or not right or not (local[-1].isalnum() or local[-1] == "_"):
             continue
-        local, domain, at = left.group(), right.group(), m.group()
-        start, end = left.start(), right.end()
+        domain, at = right.group(), m.group()
+        end = right.end()
         if local.lower().startswith("mailto"):
             continue
         dots = len(re.findall(_DOT, domain, re.I))
         last = _LAST.search(domain)
         tld = last.group(1) if last else ""
+        plain = at in ("@", "＠", "&#64;")
         word_at, spaced = float("@" not in at and "＠" not in at and "&" not in at), float(at != at.strip())
         x = [len(local), dots, float(tld.isalpha()), len(tld), word_at, spaced, float(any(c.isalpha() for c in local)), float(domain[0].isdigit()), float("." in domain),
-             float(text[start - 1 : start] in "@/"), len(domain)]
-        clear = None
-        if dots and tld.isalpha() and len(tld) >= 2 and x[6] and not (word_at and spaced and "." in domain):
-            clear = 1
-        elif not dots or not tld.isalpha() or not x[6]:
-            clear = 0
+             float(text[start - 1 : start] in ("@", "/")), len(domain)]
+        # an at sign without blanks between a name and a domain with letters at its end; a sign between numbers or with nothing after a dot
+        clear = 1 if plain and dots and tld.isalpha() and len(tld) >= 2 and x[6] else 0 if not dots or not tld.isalpha() or not x[6] else None
         out.append((start, end, x, clear))
     return out
 
@@ -90,22 +177,9 @@ _DECIMALS = re.compile(r"\d+\.\d{1,3}(?: \d+\.\d{1,3})+")
 _LETTERED = re.compile(
     r"(?<![\w=@#&+/])(?:[A-Za-z]{2}[ .\-/]?\d{2}[ .\-/]?\d{2}[ .\-/]?\d{2}[ .\-/]?[A-Za-z]|\d{2}\.?\d{3}\.?\d{3}[ \-]?[A-Za-z]|[XYZxyz][ \-]?\d{7}[ \-]?[A-Za-z])(?![\w=+/])"
 )
-_PHONE_CUE = re.compile(r"\b(?:t[eé]l|t[eé]l[eé](?:ph|f)on[eo]?|phone|call|text|number is|appeler|llame|donn[eé] le|mobile|handy|ruf\w*|unter|dieron el|reach\w*|fax|cell)\b", re.I)
-_ID_CUE = re.compile(
-    r"\b(?:ssn|nino|social (?:security )?(?:number|no)|insurance|id is|applicant|ausweis\w*|steuer\w*|s[eé]curit[eé] sociale|carte porte|num[eé]ro|dni|nif|nie|ficha|akte|documento|dossier|kennnummer|tax (?:id|number|no)|identi\w+|passport)\b", re.I
-)
-_OTHER_CUE = re.compile(r"\b(?:seed|shard|order|version|install|code|build|id=\w*|lots?|between|since|no\.|issue|release|batch|took)\W*$", re.I)
 _GROUP = re.compile(r"\d+")
 
 
-def _last_cue(pattern: re.Pattern, before: str) -> float:
-    """Characters between the last cue and the span; 60 without one."""
-    at = 60
-    for m in pattern.finditer(before):
-        at = len(before) - m.end()
-    return float(at)
-
-
 def _plan(groups: list[int], digits: str, foreign: bool, paren: bool) -> float:
     """Shapes of numbering plans: 1 three-three-four, 2 pairs after a first digit, 3 leading zero, 4 nine digits from 6 up."""
     n = len(digits)
@@ -124,8 +198,20 @@ def _plan(groups: list[int], digits: str, foreign: bool, paren: bool) -> float:
     return 0.0
 
 
+#: Fixed value: the control letters of Spanish identity numbers by the number's remainder.
+_CONTROL = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+
+def _control_fits(s: str) -> bool | None:
+    """Whether the control letter of eight digits (or a letter and seven) fits; None for other formats."""
+    bare = "".join(c for c in s if c.isalnum()).upper()
+    if len(bare) != 9 or not bare[-1].isalpha() or not (bare[0] in "XYZ" or bare[0].isdigit()) or not bare[1:8].isdigit():
+        return None
+    return _CONTROL[int(str("XYZ".find(bare[0])) + bare[1:8] if bare[0] in "XYZ" else bare[:8]) % 23] == bare[-1]
+
+
 def _numbers(text: str) -> list[tuple[int, int, list[float], int | None, int | None]]:
-    """Spans with features and, where clear, whether they are a phone number and an identity number."""
+    """Spans with features of their format and, where it settles them, whether they are a phone number and an identity number."""
     out = []
     runs = [m for run in _RUN.finditer(text) for m in _NUMBER.finditer(text, run.start(), min(len(text), run.end() + 1))]
     for pattern, found in ((_NUMBER, runs), (_LETTERED, _LETTERED.finditer(text))):
@@ -138,51 +224,44 @@ def _numbers(text: str) -> list[tuple[int, int, list[float], int | None, int | N
             if not lettered and not 8 <= n <= 15:
                 continue
             start, end = m.span()
-            if s.count("(") != s.count(")") or _DECIMALS.fullmatch(s):
+            if s.count("(") != s.count(")") or _DECIMALS.fullmatch(s) or _DATE.match(s):
                 continue
-            line = text.rfind("\n", 0, start) + 1
-            before = text[max(line, start - 45) : start]
             foreign = bool(re.match(r"\(?(?:\+\s?|00)[1-9]", s)) and n > 9
             paren = "(" in s
             plan = _plan(groups, digits, foreign, paren)
-            phone, person, other = _last_cue(_PHONE_CUE, before), _last_cue(_ID_CUE, before), float(bool(_OTHER_CUE.search(before)))
-            stop = text.find("\n", end)
-            row = text[line : stop if stop >= 0 else len(text)]
-            delimited = float(row.count("|") + row.count(";") + row.count("\t") >= 1)
-            mail = float("@" in row or "＠" in row or bool(re.search(r"[\[(]at[\])]|\sat\s\S+\sdot\s", row, re.I)))
             seps = {c for c in s if not c.isalnum()}
-            crowd = (sum(map(str.isdigit, row)) - n) / max(1, len(row))
             shape = groups + [0] * 8
-            x = [float(n), float(len(groups)), *map(float, shape[:4]), float(groups[-1]), float(max(groups)), float(foreign), float(paren), plan, min(phone, 60), min(person, 60),
-                 float(phone < person), other, delimited, mail, float(lettered), float("/" in seps), float("." in seps), float("-" in seps), float(digits[0] == "0"),
-                 float(bool(before[-1:].strip())), float(text[end : end + 1] in ".,;:)|\t\n " or end == len(text)), crowd, float("." in seps and " " in seps)]
-            ids = lettered or n in (13, 15) and not foreign and not paren or groups in ([9], [3, 2, 4], [3, 3, 3], [11], [2, 3, 3, 3])
+            x = [float(n), float(len(groups)), *map(float, shape[:4]), float(groups[-1]), float(max(groups)), float(foreign), float(paren), plan, float(lettered), float("/" in seps), float("." in seps),
+                 float("-" in seps), float(digits[0] == "0"), float(text[end : end + 1] in (*".,;:)|\t\n ", "")), float("." in seps and " " in seps), float(s[0].isalpha())]
             is_phone = is_id = None
-            if (crowd > 0.3 or "." in seps and " " in seps and not foreign and not paren) and min(phone, person) >= 60 and not mail:
-                is_phone = is_id = 0
-            elif other or (n == 8 and not lettered) or re.fullmatch(r"(?:19|20)\d\d-\d\d-\d\d.*", s):
+            if "." in seps and " " in seps and not foreign and not paren:
                 is_phone = is_id = 0
             elif lettered:
-                is_phone, is_id = 0, 1 if person < 40 else None
-            elif person < 35 and person < phone and ids:
-                is_phone, is_id = 0, 1
-            elif (foreign or paren) and plan or phone < 15 and plan or mail and plan and person > 40:
-                is_phone, is_id = 1, 0
-            elif plan and person >= 60 and crowd < 0.1 and not delimited:
+                # two letters, six digits and a letter up to D are written so in one country's insurance numbers
+                fits = s[-1] in "ABCDabcd" if s[:2].isalpha() else _control_fits(s)
+                is_phone, is_id = 0, 1 if fits else 0 if fits is False else None
+            elif (foreign or paren) and plan:
                 is_phone, is_id = 1, 0
-            elif groups == [3, 2, 4]:
+            elif groups in _ID_GROUPS:
+                is_phone, is_id = 0, 1
+            elif not plan:
                 is_phone = 0
-            elif not ids:
+            if is_id is None and groups not in _BARE_GROUPS:
                 is_id = 0
-            if is_phone is None and not plan:
-                is_phone, is_id = 0, 0 if person >= 60 else is_id
             out.append((start, end, x, is_phone, is_id))
     return out
 
 
+#: The groups in which identity numbers of three countries are written, and only those.
+_ID_GROUPS = ([3, 2, 4], [2, 3, 3, 3], [1, 2, 2, 2, 3, 3, 2])
+#: Other groups in which identity numbers may be written, as many other numbers are.
+_BARE_GROUPS = ([9], [3, 3, 3], [11], [13], [15])
+_DATE = re.compile(r"(?:19|20)\d\d[-/.](?:0?[1-9]|1[0-2])[-/.](?:0?[1-9]|[12]\d|3[01])\b")
+
+
 # --- addresses -------------------------------------------------------------------------------------------
 
-_HOUSE = r"\d{1,4}(?:\s?[\-–/]\s?\d{1,4}|\s?(?:bis|ter|quater)\b|\s?[a-h]\b)?"
+_HOUSE = r"\d{1,6}(?:\s?[\-–/]\s?\d{1,6}|\s?(?:bis|ter|quater)\b|\s?[a-h]\b)?"
 _NAME = r"[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)?"
 _STREET_EN = r"(?:street|st\.?|road|rd\.?|lane|ln\.?|avenue|ave\.?|drive|dr\.?|close|way|court|ct\.?|crescent|boulevard|blvd\.?|place|pl\.?|terrace|square|sq\.?|row|grove|gardens|walk|hill|mews|parade)"
 _STREET_FR = r"(?:rue|avenue|av\.?|boulevard|bd\.?|bld\.?|impasse|chemin|place|pl\.|allée|allées|quai|cours|route|ruelle|square|passage|villa)"
@@ -216,19 +295,15 @@ def _streets(text: str):
             if r := pattern.match(text, m.end()):
                 yield k, m.start(), r.end(), r.group(1), r.group(2)
     for m in _NUMBER_LAST.finditer(text):
-        if not _LEFT_HINT.search(text, max(0, m.start() - 45), m.start()):
+        # a street's words before its number: its type, up to two small words, up to two names, and a sign for number
+        begin = _back(text, m.start(), 7)
+        if not _LEFT_HINT.search(text, begin, m.start()):
             continue
         for k, pattern in enumerate(_LEFT):
-            if r := pattern.search(text, max(0, m.start() - 60), m.start()):
+            if r := pattern.search(text, begin, m.start()):
                 yield 2 + k, r.start(), m.end(), r.group(1), r.group(2)
 
 
-_PLACE_CUE = re.compile(
-    r"(?:living at|lives at|moved to|forms to|parcel for|office:?|address:?|habite(?:\sau)?|courrier\s?:?|rendez-vous au|attend au|post an|wohnhaft|liegt in|treffpunkt ist|wohnt|correo:?|espera en|vive en|vemos en|domicilio)\W*$", re.I
-)
-_TIME_CUE = re.compile(r"\b(?:in|since|of|by|en|seit|depuis|im|desde|and|etwa|unas?|environ|about|than)\W*$", re.I)
-
-
 def _addresses(text: str) -> list[tuple[int, int, list[float], int | None]]:
     out = []
     if not _GROUP.search(text):
@@ -236,24 +311,14 @@ def _addresses(text: str) -> list[tuple[int, int, list[float], int | None]]:
     for k, start, end, prefix, name in _streets(text):
         s = text[start:end]
         house = _GROUP.findall(s)
-        before = text[max(0, start - 30) : start]
-        cue, time = float(bool(_PLACE_CUE.search(before))), float(bool(_TIME_CUE.search(before)))
-        lone = s.upper() == s or text[max(0, start - 60) : end + 60].lower() == text[max(0, start - 60) : end + 60]
-        row = text[text.rfind("\n", 0, start) + 1 : start]
-        delimited = float(before.rstrip(" ")[-1:] in ("|", ";", "\t") or row == "")
-        x = [float(k), cue, time, float(name[:1].isupper()), float(lone), delimited, float(int(house[0][:6])), float(len(house)), float("\n" in s), float(len(s.split())),
-             float(bool(re.search(r"[a-h]\b|bis|ter", s[-6:] + s[:8], re.I))), float(len(name)), float(bool(prefix))]
-        clear = None
-        if "\n" in s and not cue:
-            clear = 0
-        elif cue or (name[:1].isupper() and delimited):
-            clear = 1
-        elif not name[:1].isupper() and not lone or time and house[0][:2] in ("19", "20") and len(house[0]) == 4:
-            clear = 0
-        elif k != 3 and name[:1].isupper():
-            clear = 1
-        elif k == 3:
-            clear = 0
+        begin, stop = _back(text, start, 6), min(len(text), end + 60)
+        lone = s.upper() == s or text[begin:stop].lower() == text[begin:stop]
+        year = len(house[0]) == 4 and house[0][:2] in ("18", "19", "20")
+        proper = name[:1].isupper()
+        x = [float(k), float(proper), float(lone), float(int(house[0][:6])), float(len(house)), float("\n" in s), float(len(s.split())),
+             float(bool(re.search(r"[a-h]\b|bis|ter", s[-6:] + s[:8], re.I))), float(len(name)), float(bool(prefix)), float(year)]
+        # a capital name with the type of street and a number that is no year; a year after small words, and numbers of another row
+        clear = 1 if k != 3 and proper and not year and "\n" not in s else 0 if year and (k == 3 or not proper) or "\n" in s and not proper else None
         out.append((start, end, x, clear))
     return out
 
@@ -297,6 +362,15 @@ class Letters:
         ta, tb = sum(a.values()) + 1000, sum(b.values()) + 1000
         return cls({p: float(np.log((a[p] + 0.5) / ta) - np.log((b[p] + 0.5) / tb)) for p in a.keys() | b.keys()})
 
+    @classmethod
+    def held_out(cls, yes: list[str], no: list[str]) -> Letters:
+        """As learnt from all words, but each listed word scores as if its half of the list were unknown: the way that unlisted names will score."""
+        whole = cls.learn(yes, no)
+        for h in (0, 1):
+            rest = cls.learn([w for k, w in enumerate(yes) if k % 2 != h], no)
+            whole.memory.update({w: rest(w) for k, w in enumerate(yes) if k % 2 == h})
+        return whole
+
     def __call__(self, word: str) -> float:
         got = self.memory.get(word)
         if got is None:
@@ -352,9 +426,9 @@ def _names(text: str, given: Letters, family: Letters, common: frozenset) -> lis
         if start and text[start - 1] in "@.+-_" or text[end : end + 1] in ("@", "_", "＠"):
             continue
         found = []
-        ahead = low[max(0, start - 30) : start].split()
+        ahead = low[_back(low, start, 1) : start].split()
         near = bool(ahead) and low[start - 1].isspace() and (ahead[-1].endswith(".") or given(ahead[-1].lstrip("(\"'“«")) > _LIKELY / 2)
-        if near and (b := _BEFORE.search(text, max(0, start - 40), start)):
+        if near and (b := _BEFORE.search(text, max(0, _back(text, start, 2) - 1), start)):
             title = b.group(1).rstrip(".").lower() in _TITLES
             if b.group(2) and (title or not b.group(1).endswith(".") and given(b.group(1).lower()) < _LIKELY / 2):
                 found.append((b.start(2) + 1, end, b.group(2)[1:], "", 0.0))
@@ -368,9 +442,9 @@ def _names(text: str, given: Letters, family: Letters, common: frozenset) -> lis
             if like < _LIKELY / 2 and not initial:
                 continue
             whole = text[s:e]
-            title = float(bool(_TITLE.search(text[max(0, s - 12) : s])))
+            title = float(bool(_TITLE.search(text, max(0, _back(text, s, 1) - 1), s)))
             upper = float(first[:1].isupper()), float(text[start].isupper())
-            lower = float(whole.lower() == whole and text[max(0, s - 40) : e + 40].lower() == text[max(0, s - 40) : e + 40])
+            lower = float(whole.lower() == whole and (around := text[_back(text, s, 4) : e + 40]).lower() == around)
             x = [score, last, like, initial, turned, title, *upper, float(whole.upper() == whole), lower, float(bool(middle)), float(len(parts)), float("\n" in whole),
                  float(text[e : e + 1] in " .,;|\t\n" or e == len(text)), float(len(parts[0])), float(len(first)), float(parts[0] in common), float(first.lower() in common)]
             out.append((s, e, x, None))
@@ -380,46 +454,54 @@ def _names(text: str, given: Letters, family: Letters, common: frozenset) -> lis
 # --- model -----------------------------------------------------------------------------------------------
 
 
+@dataclass
+class Scorer:
+    """Trees of a kind over its format and its surroundings, the words that speak for it, and its threshold; without trees the format alone decides."""
+
+    trees: Boosted | None
+    cues: Cues
+    threshold: float = 0.5
+
+    def features(self, rows: list[tuple]) -> np.ndarray:
+        return np.array([[*r[3], *self.cues(r[5]), *r[6]] for r in rows], float)
+
+    def probability(self, rows: list[tuple]) -> np.ndarray:
+        if self.trees is None:
+            return np.array([float(r[4] == 1) for r in rows])
+        return self.trees.probability(self.features(rows))
+
+
 @dataclass
 class PersonalModel:
     given: Letters
     family: Letters
     common: frozenset
-    trees: dict[str, Boosted | None]
-    positives: dict[str, int]
-    threshold: float
+    scorers: dict[str, Scorer]
+    roles: dict[str, set[str]]
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """The chosen spans of each text, in order."""
         found: dict[str, list] = {k: [] for k in KINDS}
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            for kind, *c in propose(text, self.given, self.family, self.common):
-                found[kind].append((i, *c))
+            if text:
+                for kind, *c in propose(text, self.given, self.family, self.common, self.roles):
+                    found[kind].append((i, *c))
         chosen: list[list[tuple[float, int, int, str]]] = [[] for _ in texts]
         for kind, rows in found.items():
-            if not rows:
-                continue
-            trees = self.trees[kind]
-            if trees is None:  # no cue taught anything: the clear cases alone, and words with the letters of both names
-                p = np.array([float(r[4] == 1 or kind == "name" and r[3][0] > _LIKELY and (r[3][2] > _LIKELY / 2 or r[3][3] == 1)) for r in rows])
-            else:
-                p = trees.probability(np.array([r[3] for r in rows], float))
-                # where few examples taught the trees, a clear cue counts beside them
-                told = self.positives[kind] / (self.positives[kind] + 50)
-                clear = np.array([np.nan if r[4] is None else r[4] for r in rows], float)
-                p = np.where(np.isnan(clear), p, told * p + (1 - told) * clear)
-            for (i, s, e, *_), q in zip(rows, p.tolist(), strict=True):
-                if q >= self.threshold:
-                    chosen[i].append((q + 2 * (kind == "email"), s, e, kind))
+            if rows:
+                p, least = self.scorers[kind].probability(rows), self.scorers[kind].threshold
+                for (i, s, e, *_), q in zip(rows, p.tolist(), strict=True):
+                    if q >= least:
+                        chosen[i].append((q, s, e, kind))
         return [_apart(c) for c in chosen]
 
 
 def _apart(spans: list[tuple[float, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Of overlapping spans the more probable, then the longer, then the earlier one."""
+    """Of overlapping spans the more probable, then the longer, then the earlier one; a name inside an address of email is part of that."""
     if len(spans) < 2:
         return [s[1:] for s in spans]
+    mails = [(s, e) for _, s, e, kind in spans if kind == "email"]
+    spans = [x for x in spans if x[3] != "name" or not any(s <= x[1] and x[2] <= e for s, e in mails)]
     kept: list[tuple[int, int, str]] = []
     for _, s, e, kind in sorted(spans, key=lambda x: (-round(x[0], 2), x[1] - x[2], x[1])):
         if all(e <= a or s >= b for a, b, _ in kept):
@@ -427,17 +509,82 @@ def _apart(spans: list[tuple[float, int, int, str]]) -> list[tuple[int, int, str
     return sorted(kept)
 
 
-def propose(text: str, given: Letters, family: Letters, common: frozenset):
-    """kind, start, end, features and, where clear, the label of each candidate."""
+def propose(text: str, given: Letters, family: Letters, common: frozenset, roles: dict[str, set[str]]):
+    """kind, start, end, features of the format, its label where the format settles it, words around, and figures of the row of each candidate."""
+    rows = _Rows(text)
     for s, e, x, clear in _emails(text):
-        yield "email", s, e, x, clear
+        yield "email", s, e, x, clear, *surroundings(text, rows, s, e)
     for s, e, x, phone, person in _numbers(text):
-        yield "phone", s, e, x, phone
-        yield "id_number", s, e, x, person
+        around = surroundings(text, rows, s, e)
+        yield "phone", s, e, x, phone, *around
+        yield "id_number", s, e, x, person, *around
     for s, e, x, clear in _addresses(text):
-        yield "address", s, e, x, clear
-    for s, e, x, clear in _names(text, given, family, common):
-        yield "name", s, e, x, clear
+        yield "address", s, e, x, clear, *surroundings(text, rows, s, e)
+    for s, e, x, _ in _names(text, given, family, common):
+        yield "name", s, e, x, _clear_name(text[s:e], x, roles), *surroundings(text, rows, s, e)
+
+
+def first_labels(rows: list[tuple]) -> np.ndarray:
+    """What the format settles, -1 for the rest. ``rows``: text, start, end, format, label by format, words, row."""
+    return np.array([-1 if r[4] is None else r[4] for r in rows], np.int64) if rows else np.empty(0, np.int64)
+
+
+def _enough(label: np.ndarray, least: int) -> bool:
+    return min((label == 0).sum(), (label == 1).sum()) >= least
+
+
+def _described(rows: list[tuple], label: np.ndarray) -> np.ndarray:
+    """The surroundings of each candidate, by words learnt from the labels of the other half of the texts."""
+    half = np.array([r[0] for r in rows]) % 2
+    out = np.zeros((len(rows), 5 + len(rows[0][6])))
+    for h in (0, 1):
+        use = np.flatnonzero((half != h) & (label >= 0))
+        cues = Cues.learn([rows[k][5] for k in use], label[use].tolist())
+        for k in np.flatnonzero(half == h):
+            out[k] = [*cues(rows[k][5]), *rows[k][6]]
+    return out
+
+
+def view_labels(rows: list[tuple], config: TrainConfig) -> np.ndarray:
+    """The first labels, and those of candidates of which trees that see only the surroundings, fitted on the other half of the texts, are sure."""
+    label = first = first_labels(rows)
+    if not _enough(first, config.least):
+        return label
+    label = first.copy()
+    half, context = np.array([r[0] for r in rows]) % 2, _described(rows, first)
+    for h in (0, 1):
+        use = (half != h) & (first >= 0)
+        if _enough(first[use], config.least):
+            p = fit_boosted(context[use], first[use]).probability(context)
+            rest = (half == h) & (first < 0)
+            label[rest & (p >= config.sure)] = 1
+            # most candidates are none, so it must speak against one, not merely fail to speak for it
+            usual = first[use].mean()
+            label[rest & (p / (1 - p + 1e-9) <= (1 - config.sure) * usual / (1 - usual))] = 0
+    return label
+
+
+def fit_scorer(rows: list[tuple], label: np.ndarray, config: TrainConfig) -> Scorer:
+    """Trees over both views of all labelled candidates, and the threshold at which most of them, held out, are told right."""
+    if not _enough(label, config.least):
+        return Scorer(None, Cues())
+    use = label >= 0
+    x, y = np.hstack([np.array([r[3] for r in rows], float), _described(rows, label)])[use], label[use]
+    trees, held = fit_held(x, y)
+    grid = np.arange(0.05, 0.96, 0.05)
+    right = np.array([((held >= g) == (y == 1)).sum() for g in grid])
+    best = grid[right == right.max()]
+    cues = Cues.learn([r[5] for r, u in zip(rows, use, strict=True) if u], y.tolist())
+    return Scorer(trees, cues, float(best[np.argmin(np.abs(best - 0.5))]))
+
+
+def fit_scorers(rows: dict[str, list[tuple]], config: TrainConfig) -> dict[str, Scorer]:
+    labels = {k: view_labels(r, config) for k, r in rows.items()}
+    # the same numbers are candidates of both kinds: what is one is not the other, and what the views call both counts for neither
+    phone, person = labels["phone"], labels["id_number"]
+    both = (phone == 1) & (person == 1)
+    labels["phone"], labels["id_number"] = np.where(both, -1, np.where(person == 1, 0, phone)), np.where(both, -1, np.where(phone == 1, 0, person))
+    return {k: fit_scorer(r, labels[k], config) for k, r in rows.items()}
 
 
 def train(texts: list[str], lexicon: list[tuple[str, str]], config: TrainConfig = TrainConfig()) -> PersonalModel:
@@ -451,24 +598,18 @@ def train(texts: list[str], lexicon: list[tuple[str, str]], config: TrainConfig
         for w in _WORDS.findall(t):
             all_[w.lower()] += 1
             small[w.lower()] += w.islower()
-    common = [w for w, n in all_.most_common(20_000) if small[w] >= 0.8 * n and w not in roles["given"] | roles["family"]]
+    common = [w for w, n in all_.most_common(config.common) if small[w] >= 0.8 * n and w not in roles["given"] | roles["family"]]
     elsewhere = common + 8 * sorted(roles["place"] | roles["brand"])
-    given = Letters.learn(sorted(roles["given"]), elsewhere + sorted(roles["family"]))
-    family = Letters.learn(sorted(roles["family"]), elsewhere + sorted(roles["given"]))
-    usual = frozenset(w for w in common if all_[w] >= 5)
+    lists = (sorted(roles["given"]), elsewhere + sorted(roles["family"])), (sorted(roles["family"]), elsewhere + sorted(roles["given"]))
+    given, family = (Letters.learn(*x) for x in lists)
+    given_held, family_held = (Letters.held_out(*x) for x in lists)
+    # five times in a sample of the greatest size
+    usual = frozenset(w for w in common if all_[w] >= max(2, 5 * len(texts) / config.documents))
     rows: dict[str, list] = {k: [] for k in KINDS}
-    for t in texts:
-        for kind, s, e, x, clear in propose(t, given, family, usual):
-            if kind == "name":
-                clear = _clear_name(t[s:e], x, roles)
-            if clear is not None:
-                rows[kind].append((x, clear))
-    trees, positives = {}, {}
-    for kind, labelled in rows.items():
-        y = np.array([c for _, c in labelled])
-        positives[kind] = int((y == 1).sum())
-        trees[kind] = fit_boosted(np.array([x for x, _ in labelled], float), y) if min((y == 0).sum(), (y == 1).sum()) >= 10 else None
-    return PersonalModel(given, family, usual, trees, positives, config.threshold)
+    for i, t in enumerate(texts):
+        for kind, *c in propose(t, given_held, family_held, usual, roles):
+            rows[kind].append((i, *c))
+    return PersonalModel(given, family, usual, fit_scorers(rows, config), roles)
 
 
 def _clear_name(text: str, x: list[float], roles: dict[str, set[str]]) -> int | None:
@@ -492,10 +633,13 @@ def _clear_name(text: str, x: list[float], roles: dict[str, set[str]]) -> int |
 
 
 def fit_personal_model(documents: DataFrame, lexicon: DataFrame, config: TrainConfig = TrainConfig()) -> PersonalModel:
-    """Train on about ``config.documents`` documents at most, chosen by a hash of their id. The name table is a fixed table."""
-    rows = bounded_sample(documents.where("length(trim(text)) > 0").select("doc_id", "text"), "doc_id", config.documents).toPandas().sort_values("doc_id")
-    terms = [(r["term"], r["role"]) for r in lexicon.select("term", "role").distinct().collect()]
-    return train(rows.text.tolist(), terms, config)
+    """Train on about ``config.documents`` documents and ``config.text_bytes`` of text at most, chosen by hashes of their id. The name table's size is checked."""
+    texts = bounded_sample(documents.select("doc_id", "text"), "doc_id", config.documents, documents.count())
+    rows = bounded_texts(texts.where("length(trim(text)) > 0"), "doc_id", "text", config.text_bytes).toPandas().sort_values("doc_id")
+    terms = lexicon.select("term", "role").distinct()
+    if (size := terms.agg(F.sum(F.octet_length("term"))).first()[0] or 0) > config.names_bytes:
+        raise ValueError(f"the name table has {size} bytes, more than the {config.names_bytes} that travel with the code")
+    return train(rows.text.tolist(), [(r["term"], r["role"]) for r in terms.collect()], config)
 
 
 def _map(documents: DataFrame, schema: str, names: list[str], model: PersonalModel, rows: Callable) -> DataFrame:

@@ -237,6 +237,43 @@ def test_personal_data(spark, personal_model):
     assert red[1]["text"] is None and red[2]["text"] == "" and red[3]["n_replaced"] == 0
 
 
+def test_spans_of_any_length(personal_model):
+    local = "drelka." + "very_long_part." * 30 + "garvmire"
+    text = f"Write to {local}@mail.quarr.example please.  Signed,   {GIVEN[0]}     {FAMILY[0]}.\nShe is living at 12345 Larkmoor{' ' * 3}Street. {GIVEN[1]} {FAMILY[1]}-{FAMILY[2]} came."
+    got = {text[a:b] for a, b, _ in personal_model.spans([text])[0]}
+    assert f"{local}@mail.quarr.example" in got and f"{GIVEN[1]} {FAMILY[1]}-{FAMILY[2]}" in got
+    assert len(personal_model.spans(["1 " * 200_000 + "@ " * 1000])) == 1
+
+
+def test_personal_data_in_sentences_that_training_has_not_seen(personal_model):
+    rng = random.Random(8)
+    want, found = [], []
+    for _ in range(60):
+        g, f = rng.choice(GIVEN), rng.choice(FAMILY)
+        facts = [("name", f"{g} {f}"), ("email", f"{g.lower()}{rng.randrange(99)}@shop.velm.test"), ("phone", f"+1 415 555 {rng.randrange(1000, 9999)}"), ("id_number", f"{rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"), ("address", f"{rng.randrange(1, 300)} Osterbrook Road")]
+        lines = ["It was {} who found the old key.", "All mail goes through {} since May.", "Ring {} after noon.", "The clerk wrote {} on the form.", "The shop at {} is closed."]
+        text = " ".join(x.format(v) for x, (_, v) in zip(lines, facts, strict=True)) + f" Build {rng.randrange(10**8, 10**9)}.{rng.randrange(99)} took {rng.randrange(10**4)} seconds in 1999."
+        want += facts
+        found += [(k, text[a:b]) for a, b, k in personal_model.spans([text])[0]]
+    hits = sum((Counter(want) & Counter(found)).values())
+    assert hits >= 0.95 * len(want) and hits >= 0.95 * len(found), (hits, len(want), len(found), [x for x in found if x not in want][:5])
+
+
+def test_scorers_follow_the_surroundings_where_the_format_leaves_open():
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        kind = i % 4  # settled yes, settled no, open yes, open no
+        around = (("^", "call", "now") if kind in (0, 2) else ("^", "seed", "of"), "and")
+        rows.append((i // 4, 0, 1, [float(kind >= 2), rng.random()], {0: 1, 1: 0}.get(kind), (*around[0], around[1]), (0.0, rng.random())))
+    label = personal.view_labels(rows, personal.TrainConfig())
+    assert all(label[i] in (-1, int(i % 4 == 2)) for i in range(400) if i % 4 >= 2) and (label[2::4] == 1).mean() > 0.9
+    p = personal.fit_scorer(rows, label, personal.TrainConfig()).probability(rows)
+    assert (p[2::4] > 0.5).all() and (p[3::4] < 0.5).all()
+    none = personal.fit_scorer(rows[:4], personal.first_labels(rows[:4]), personal.TrainConfig())
+    assert none.trees is None and none.probability(rows[:4]).tolist() == [1.0, 0.0, 0.0, 0.0]
+
+
 def test_spans_never_overlap(personal_model):
     for found in personal_model.spans(personal_texts(20)):
         assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False)) and {k for *_, k in found} >= {"email", "phone", "name"}
