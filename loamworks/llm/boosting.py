@@ -47,24 +47,26 @@ def _fit(x: np.ndarray, y: np.ndarray, trees: int, depth: int, rate: float, bins
         g, h = y - p, np.maximum(p * (1 - p), 1e-6)
         f, c, v = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(outer)
         node = np.zeros(len(y), np.int64)
-        for n in range(inner):
-            at = np.flatnonzero(node == n)
-            best = (1e-6, 0, np.inf)
-            if len(at) >= 10:
-                total = g[at].sum() ** 2 / (h[at].sum() + 1)
-                for k, e in enumerate(edges):
-                    if not len(e):
-                        continue
-                    gs = np.cumsum(np.bincount(code[at, k], g[at], len(e) + 1))
-                    hs = np.cumsum(np.bincount(code[at, k], h[at], len(e) + 1))
-                    ns = np.cumsum(np.bincount(code[at, k], minlength=len(e) + 1))
-                    gain = gs[:-1] ** 2 / (hs[:-1] + 1) + (gs[-1] - gs[:-1]) ** 2 / (hs[-1] - hs[:-1] + 1) - total
-                    gain[(ns[:-1] < 5) | (ns[-1] - ns[:-1] < 5)] = 0
-                    j = int(gain.argmax())
-                    if gain[j] > best[0]:
-                        best = (float(gain[j]), k, float(e[j]))
-            f[n], c[n] = best[1], best[2]
-            node[at] = 2 * n + 1 + (x[at, f[n]] > c[n])
+        for level in range(depth):
+            # all nodes of a level at once
+            width, low = 2**level, 2**level - 1
+            local = node - low
+            sums = np.bincount(local, g, width), np.bincount(local, h, width)
+            total = sums[0] ** 2 / (sums[1] + 1)
+            best = np.full(width, 1e-6)
+            for k, e in enumerate(edges):
+                m = len(e) + 1
+                if m == 1:
+                    continue
+                at = local * m + code[:, k]
+                gs, hs, ns = (np.cumsum(np.bincount(at, w, width * m).reshape(width, m), axis=1) for w in (g, h, None))
+                gain = gs[:, :-1] ** 2 / (hs[:, :-1] + 1) + (gs[:, -1:] - gs[:, :-1]) ** 2 / (hs[:, -1:] - hs[:, :-1] + 1) - total[:, None]
+                gain[(ns[:, :-1] < 5) | (ns[:, -1:] - ns[:, :-1] < 5)] = 0
+                j = gain.argmax(axis=1)
+                top = gain[np.arange(width), j]
+                more = np.flatnonzero(top > best)
+                best[more], f[low + more], c[low + more] = top[more], k, e[j[more]]
+            node = 2 * node + 1 + (x[np.arange(len(y)), f[node]] > c[node])
         leaf = node - inner
         v = rate * np.bincount(leaf, g, outer) / (np.bincount(leaf, h, outer) + 1)
         score += v[leaf]

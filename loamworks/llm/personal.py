@@ -54,20 +54,13 @@ class TrainConfig:
 
 # --- surroundings ----------------------------------------------------------------------------------------
 
-_BLANK = re.compile(r"\s")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|@|＠")
 
 
 def _back(text: str, at: int, tokens: int, stop: int = 0) -> int:
-    """Where the last ``tokens`` parts between blanks before ``at`` begin; not before ``stop``."""
-    i = at
-    while tokens and i > stop:
-        while i > stop and text[i - 1].isspace():
-            i -= 1
-        while i > stop and not text[i - 1].isspace():
-            i -= 1
-        tokens -= 1
-    return i
+    """Where the last ``tokens`` parts between blanks before ``at`` begin, or the blanks before them; not before ``stop``."""
+    parts = text[stop:at].rsplit(None, tokens)
+    return stop + len(parts[0]) if len(parts) > tokens else stop
 
 
 def _words_of(piece: str) -> list[str]:
@@ -177,6 +170,8 @@ _DECIMALS = re.compile(r"\d+\.\d{1,3}(?: \d+\.\d{1,3})+")
 _LETTERED = re.compile(
     r"(?<![\w=@#&+/])(?:[A-Za-z]{2}[ .\-/]?\d{2}[ .\-/]?\d{2}[ .\-/]?\d{2}[ .\-/]?[A-Za-z]|\d{2}\.?\d{3}\.?\d{3}[ \-]?[A-Za-z]|[XYZxyz][ \-]?\d{7}[ \-]?[A-Za-z])(?![\w=+/])"
 )
+#: What every one of these ends with.
+_LETTER_ENDS = re.compile(r"\d[\d .\-/]{5,12}[A-Za-z](?![\w=+/])")
 _GROUP = re.compile(r"\d+")
 
 
@@ -210,11 +205,14 @@ def _control_fits(s: str) -> bool | None:
     return _CONTROL[int(str("XYZ".find(bare[0])) + bare[1:8] if bare[0] in "XYZ" else bare[:8]) % 23] == bare[-1]
 
 
-def _numbers(text: str) -> list[tuple[int, int, list[float], int | None, int | None]]:
-    """Spans with features of their format and, where it settles them, whether they are a phone number and an identity number."""
+def _numbers(text: str, dates: bool = False) -> list[tuple[int, int, list[float], int | None, int | None]]:
+    """Spans with features of their format and, where it settles them, whether they are a phone number and an identity number.
+
+    Dates are neither; with ``dates`` they are given as examples of that, in all the surroundings that numbers have.
+    """
     out = []
     runs = [m for run in _RUN.finditer(text) for m in _NUMBER.finditer(text, run.start(), min(len(text), run.end() + 1))]
-    for pattern, found in ((_NUMBER, runs), (_LETTERED, _LETTERED.finditer(text))):
+    for pattern, found in ((_NUMBER, runs), (_LETTERED, _LETTERED.finditer(text) if _LETTER_ENDS.search(text) else ())):
         for m in found:
             s = m.group()
             groups = [len(g) for g in _GROUP.findall(s)]
@@ -224,7 +222,10 @@ def _numbers(text: str) -> list[tuple[int, int, list[float], int | None, int | N
             if not lettered and not 8 <= n <= 15:
                 continue
             start, end = m.span()
-            if s.count("(") != s.count(")") or _DECIMALS.fullmatch(s) or _DATE.match(s):
+            if s.count("(") != s.count(")") or _DECIMALS.fullmatch(s):
+                continue
+            date = bool(_DATE.match(s))
+            if date and not dates:
                 continue
             foreign = bool(re.match(r"\(?(?:\+\s?|00)[1-9]", s)) and n > 9
             paren = "(" in s
@@ -234,7 +235,7 @@ def _numbers(text: str) -> list[tuple[int, int, list[float], int | None, int | N
             x = [float(n), float(len(groups)), *map(float, shape[:4]), float(groups[-1]), float(max(groups)), float(foreign), float(paren), plan, float(lettered), float("/" in seps), float("." in seps),
                  float("-" in seps), float(digits[0] == "0"), float(text[end : end + 1] in (*".,;:)|\t\n ", "")), float("." in seps and " " in seps), float(s[0].isalpha())]
             is_phone = is_id = None
-            if "." in seps and " " in seps and not foreign and not paren:
+            if date or "." in seps and " " in seps and not foreign and not paren:
                 is_phone = is_id = 0
             elif lettered:
                 # two letters, six digits and a letter up to D are written so in one country's insurance numbers
@@ -261,15 +262,16 @@ _DATE = re.compile(r"(?:19|20)\d\d[-/.](?:0?[1-9]|1[0-2])[-/.](?:0?[1-9]|[12]\d|
 
 # --- addresses -------------------------------------------------------------------------------------------
 
-_HOUSE = r"\d{1,6}(?:\s?[\-–/]\s?\d{1,6}|\s?(?:bis|ter|quater)\b|\s?[a-h]\b)?"
+_HOUSE_REST = r"\d{0,5}(?:\s?[\-–/]\s?\d{1,6}|\s?(?:bis|ter|quater)\b|\s?[a-h]\b)?"
 _NAME = r"[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)?"
 _STREET_EN = r"(?:street|st\.?|road|rd\.?|lane|ln\.?|avenue|ave\.?|drive|dr\.?|close|way|court|ct\.?|crescent|boulevard|blvd\.?|place|pl\.?|terrace|square|sq\.?|row|grove|gardens|walk|hill|mews|parade)"
 _STREET_FR = r"(?:rue|avenue|av\.?|boulevard|bd\.?|bld\.?|impasse|chemin|place|pl\.|allée|allées|quai|cours|route|ruelle|square|passage|villa)"
 _STREET_ES = r"(?:calle|c/|cl\.|avenida|avda\.?|av\.|plaza|pza\.?|plza\.?|paseo|pº|camino|ronda|travesía|carrera|carretera|callejón)"
 _GAP = r"[ \u00a0\u202f\n]"
 #: A house number before the street, and one after it, each with the street on that side.
-_NUMBER_FIRST = re.compile(rf"(?<![\w.,/\-])({_HOUSE}),?{_GAP}(?=[^\W\d_])", re.I)
-_NUMBER_LAST = re.compile(rf"(?<=[^\s\d|;:]{_GAP})({_HOUSE})(?![\w,.]\d|\w)", re.I)
+#: Both begin with a digit and look back from there, which lets the search leap from digit to digit.
+_NUMBER_FIRST = re.compile(rf"(\d(?<![\w.,/\-]\d){_HOUSE_REST}),?{_GAP}(?=[^\W\d_])", re.I)
+_NUMBER_LAST = re.compile(rf"(\d(?<=[^\s\d|;:]{_GAP}\d){_HOUSE_REST})(?![\w,.]\d|\w)", re.I)
 _RIGHT = tuple(
     re.compile(p.replace(r"\s", _GAP), re.I)
     for p in (
@@ -509,12 +511,12 @@ def _apart(spans: list[tuple[float, int, int, str]]) -> list[tuple[int, int, str
     return sorted(kept)
 
 
-def propose(text: str, given: Letters, family: Letters, common: frozenset, roles: dict[str, set[str]]):
+def propose(text: str, given: Letters, family: Letters, common: frozenset, roles: dict[str, set[str]], training: bool = False):
     """kind, start, end, features of the format, its label where the format settles it, words around, and figures of the row of each candidate."""
     rows = _Rows(text)
     for s, e, x, clear in _emails(text):
         yield "email", s, e, x, clear, *surroundings(text, rows, s, e)
-    for s, e, x, phone, person in _numbers(text):
+    for s, e, x, phone, person in _numbers(text, training):
         around = surroundings(text, rows, s, e)
         yield "phone", s, e, x, phone, *around
         yield "id_number", s, e, x, person, *around
@@ -607,7 +609,7 @@ def train(texts: list[str], lexicon: list[tuple[str, str]], config: TrainConfig
     usual = frozenset(w for w in common if all_[w] >= max(2, 5 * len(texts) / config.documents))
     rows: dict[str, list] = {k: [] for k in KINDS}
     for i, t in enumerate(texts):
-        for kind, *c in propose(t, given_held, family_held, usual, roles):
+        for kind, *c in propose(t, given_held, family_held, usual, roles, training=True):
             rows[kind].append((i, *c))
     return PersonalModel(given, family, usual, fit_scorers(rows, config), roles)
 
