@@ -580,8 +580,23 @@ def fit_scorer(rows: list[tuple], label: np.ndarray, config: TrainConfig) -> Sco
     return Scorer(trees, cues, float(best[np.argmin(np.abs(best - 0.5))]))
 
 
+def untold(rows: list[tuple], label: np.ndarray, least: int) -> np.ndarray:
+    """The labels, with none for open candidates after a word that stands before ``least`` of them and before no settled one.
+
+    About half of the numbers of a kind are written in a format that settles them, so a word that announces the kind stands before some of these.
+    """
+    first = first_labels(rows)
+    opened = Counter(r[5][2] for r, c in zip(rows, first.tolist(), strict=True) if c < 0)
+    settled = {r[5][2] for r, c in zip(rows, first.tolist(), strict=True) if c == 1}
+    against = {w for w, n in opened.items() if n >= least and w not in settled}
+    return np.array([0 if c < 0 and r[5][2] in against else x for r, c, x in zip(rows, first.tolist(), label.tolist(), strict=True)], np.int64)
+
+
 def fit_scorers(rows: dict[str, list[tuple]], config: TrainConfig) -> dict[str, Scorer]:
     labels = {k: view_labels(r, config) for k, r in rows.items()}
+    for k in ("phone", "id_number"):
+        if _enough(first_labels(rows[k]), config.least):
+            labels[k] = untold(rows[k], labels[k], config.least // 2)
     # the same numbers are candidates of both kinds: what is one is not the other, and what the views call both counts for neither
     phone, person = labels["phone"], labels["id_number"]
     both = (phone == 1) & (person == 1)

@@ -270,6 +270,8 @@ def test_scorers_follow_the_surroundings_where_the_format_leaves_open():
     assert all(label[i] in (-1, int(i % 4 == 2)) for i in range(400) if i % 4 >= 2) and (label[2::4] == 1).mean() > 0.9
     p = personal.fit_scorer(rows, label, personal.TrainConfig()).probability(rows)
     assert (p[2::4] > 0.5).all() and (p[3::4] < 0.5).all()
+    seed = [(0, 0, 1, [1.0], None, ("^", "^", "seed", "of"), (0.0,))] * 6 + [(0, 0, 1, [1.0], 1, ("^", "^", "tel", "$"), (0.0,)), (0, 0, 1, [1.0], None, ("^", "^", "tel", "$"), (0.0,))]
+    assert personal.untold(seed, personal.first_labels(seed), 5).tolist() == [0] * 6 + [1, -1]
     none = personal.fit_scorer(rows[:4], personal.first_labels(rows[:4]), personal.TrainConfig())
     assert none.trees is None and none.probability(rows[:4]).tolist() == [1.0, 0.0, 0.0, 0.0]
 
