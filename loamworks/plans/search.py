@@ -258,48 +258,6 @@ def _best_first(trials: list[Trial], c: Constraints = Constraints()) -> list[Tri
     return sorted(trials, key=lambda t: (not t.is_feasible, -t.score if t.is_feasible else ("error" in t.metrics, violations_of(t, c)), t.trial_id))
 
 
-def tree_search(space: list[Parameter], objective: Callable[[dict], dict], n: int, c: Constraints = Constraints(), seed: int = 42, start: int = 10, share: float = 0.15, candidates: int = 24) -> list[Trial]:
-    """``random_search`` whose trials, after ``start`` drawn ones and but for every fifth, are proposed by densities of the better ``share`` of trials and of the rest.
-
-    Of ``candidates`` values drawn near the better ones, each parameter takes that with the greatest ratio of the two densities
-    (a tree-structured Parzen estimator with independent parameters).
-    """
-    rng, trials = random.Random(seed), []
-    for k in range(n):
-        if len(trials) < start or k % 5 == 0:
-            config = {p.name: p.draw(rng) for p in space}
-        else:
-            best = _best_first(trials)
-            cut = max(2, int(share * len(best)))
-            config = {p.name: _proposed(p, [t.config[p.name] for t in best[:cut]], [t.config[p.name] for t in best[cut:]], rng, candidates) for p in space}
-        trials.append(_tried(k, config, objective, c))
-    return _best_first(trials)
-
-
-def _proposed(p: Parameter, good: list, bad: list, rng: random.Random, candidates: int):
-    if p.kind == "categorical":
-        weight = lambda xs, v: (xs.count(v) + 1) / (len(xs) + len(p.choices))
-        drawn = rng.choices(p.choices, [weight(good, v) for v in p.choices], k=candidates)
-        return max(drawn, key=lambda v: weight(good, v) / weight(bad, v))
-    flat = math.log if p.log else float
-    low, high = flat(p.low), flat(p.high)
-    width = max((high - low) / (2 * max(2, len(good)) ** 0.5), 1e-12)
-
-    def inside(x: float) -> float:
-        # the part of a kernel that lies within the range, so that ends are not thought emptier than they are
-        return 0.5 * (math.erf((high - x) / (width * 2**0.5)) - math.erf((low - x) / (width * 2**0.5)))
-
-    def density(xs: list[float], v: float) -> float:
-        # a uniform part keeps regions without trials open
-        return (1 / max(high - low, 1e-12) + sum(math.exp(-0.5 * ((v - x) / width) ** 2) / (width * 2.5066 * inside(x)) for x in xs)) / (len(xs) + 1)
-
-    g, b = [flat(x) for x in good], [flat(x) for x in bad]
-    drawn = [x for x in (rng.gauss(rng.choice(g), width) for _ in range(candidates)) if low <= x <= high] or [rng.uniform(low, high)]
-    v = max(drawn, key=lambda x: density(g, x) / density(b, x))
-    v = math.exp(v) if p.log else v
-    return min(int(p.high), max(int(p.low), round(v))) if p.kind == "int" else v
-
-
 def successive_halving(space: list[Parameter], objective: Callable[[dict, float], float], n: int, budgets: tuple[float, ...] = (0.1, 0.3, 1.0), keep: tuple[float, ...] = (0.3, 0.5), seed: int = 42) -> list[Trial]:
     """Trials at rising budgets; after each level the best share goes on. Returns those of the last level, best first."""
     rng = random.Random(seed)

@@ -405,14 +405,6 @@ def random_search(spark, sf_dir):
     return spark.createDataFrame([(t.trial_id, t.score, json.dumps(t.config), k) for k, t in enumerate(found)], "trial_id bigint, score double, config string, place int")
 
 
-@query()
-def tree_search(spark, sf_dir):
-    """Trials proposed from the better ones before them."""
-    space = [search.Parameter("x", "float", low=-3, high=3), search.Parameter("k", "categorical", choices=("a", "b"))]
-    found = search.tree_search(space, lambda c: {"score": -((c["x"] - 1) ** 2) - (c["k"] == "b"), "dataset_tokens": 10**10}, 60)
-    return spark.createDataFrame([(t.trial_id, t.score, json.dumps(t.config), k) for k, t in enumerate(found)], "trial_id bigint, score double, config string, place int")
-
-
 # --- streams ---------------------------------------------------------------------------------------------
 
 

@@ -462,14 +462,10 @@ def test_steps_are_deleted_and_clusters_need_a_shared_folder(spark, monkeypatch)
     assert 300 < sample.count() < 700 and not sample.where("k = 5000").count()
 
 
-def test_first_rows_and_tree_search(spark):
+def test_first_rows_and_skylines(spark):
     df = spark.createDataFrame([(i, (i * 37) % 101) for i in range(101)], "doc_id bigint, v bigint")
     assert ids(budget.first_rows(df, {"v": F.col("v")}, 10), "v") == list(range(10))
     assert budget.first_rows(df, {"v": F.col("v")}, 500).count() == 101 and budget.first_rows(df, {"v": F.col("v")}, 0).count() == 0
-    space = [search.Parameter(f"x{k}", "float", low=-3, high=3) for k in range(5)] + [search.Parameter("k", "categorical", choices=tuple("abcdef"))]
-    score = lambda c: {"score": -sum((c[f"x{k}"] - 1) ** 2 for k in range(5)) - (c["k"] != "b"), "dataset_tokens": 10**10}
-    best, drawn = (sum(f(space, score, 120, seed=s)[0].score for s in range(100, 140)) for f in (search.tree_search, search.random_search))
-    assert best > drawn and not search.tree_search(space, lambda c: 1 / 0, 15)[0].is_feasible
     points = np.random.default_rng(0).integers(0, 6, (200, 3)).astype(float)
     want = {tuple(p) for p in points if not any((q >= p).all() and (q != p).any() for q in points)}
     assert {tuple(p) for p in search.skyline(points)} == want and len(search.skyline(points)) == len(want)
