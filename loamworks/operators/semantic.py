@@ -10,13 +10,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamworks.functions.text import ngram_hashes, words
 from loamworks.operators.dedup import with_scope
+from loamworks.operators.setjoin import distinct_sets
+from loamworks.operators.similar_sets import JoinConfig, SetKind, similar_sets
 from loamworks.session import materialize
 
+#: Shingles that a task turns into sets at a time.
+_MOST_HASHES = 2_000_000
+
 
 def greedy_keep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, kept``. ``nodes``: node; ``edges``: a < b.
@@ -186,30 +192,35 @@ def shingle_links(df: DataFrame, threshold: float = 0.8, n: int = 3, id_col: str
 
 
 def _shingle_links(df: DataFrame, threshold: float, n: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Links between the first documents of different sets, and of each copy to the first document of its set.
-
-    Prefix filtering: with shingles ordered from rare to frequent, similar sets share one of their first ``size - ceil(t * size) + 1``;
-    only those meet. Copies of a set meet as one.
-    """
-    tokens = words(F.lower(F.coalesce(F.col(text), F.lit(""))))
-    sets = df.select(F.col(id_col).cast("bigint").alias("id"), F.array_distinct(ngram_hashes(tokens, n)).alias("s")).where(F.size("s") > 0)
-    sets = sets.withColumn("sig", F.xxhash64(F.array_sort("s")))
-    ones = materialize(sets.groupBy("sig").agg(F.min("id").alias("id"), F.min_by("s", "id").alias("s")))
-    grams = ones.select("id", F.size("s").alias("size"), F.explode("s").alias("g"))
-    rare = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    met = grams.join(rare, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"), F.max("size").alias("size"))
-    # shingles of one set only come first of all, and match nobody
-    lone = F.col("size") - F.size("o")
-    prefix = F.greatest(F.lit(0), F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9).cast("int") + 1 - lone)
-    head = met.select("id", "size", F.explode(F.slice("o", F.lit(1), prefix)).alias("x")).select("id", "size", F.col("x.g").alias("g"))
-    a, b = head.alias("a"), head.alias("b")
-    fits = (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size") - 1e-9)
-    pairs = a.join(b, fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    full = pairs.join(ones.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(ones.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = full.where(common >= F.lit(threshold) * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
-    copies = sets.select("sig", "id").join(ones.select("sig", F.col("id").alias("first")), "sig").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    return links, copies
+    """Links between the first documents of different sets, and of each copy to the first document of its set."""
+    texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    classes, links = similar_sets(texts, _shingles(n), JoinConfig(threshold))
+    copies = classes.where("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    return links.where("class_a < class_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")), copies
+
+
+def _shingles(n: int) -> SetKind:
+    """Runs of ``n`` words; a text of fewer words is one run."""
+
+    def hashed(texts: DataFrame) -> DataFrame:
+        return texts.select("doc_id", ngram_hashes(words(F.lower(F.coalesce("text", F.lit("")))), n).alias("s"))
+
+    def sets(batches, rows):
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(lengths)
+            hashes = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < len(ids):
+                # a larger set is alone
+                end = int(np.searchsorted(ends, ends[at] - lengths[at] + _MOST_HASHES, side="right"))
+                end = min(max(end, at + 1), at + rows, len(ids))
+                part = hashes[ends[at] - lengths[at] : ends[end - 1]]
+                yield ids[at:end], *distinct_sets(np.repeat(np.arange(end - at), lengths[at:end]), part, end - at)
+                at = end
+
+    return SetKind(hashed, sets)
 
 
 def shingle_dedup(df: DataFrame, threshold: float = 0.8, n: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,6 +1,8 @@
 import gzip
 import math
+import pathlib
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -199,6 +201,46 @@ def test_shingle_links(spark):
     assert kept == {0: True, 1: False, 2: False, 3: True, 4: True}
 
 
+def block_files(spark):
+    """Sizes of the files in the session's local folders, most of them shuffled."""
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    sizes = {}
+    for top in dirs:
+        for path in pathlib.Path(top).rglob("*"):
+            try:
+                if path.is_file():
+                    sizes[path] = path.stat().st_size
+            except OSError:  # deleted meanwhile
+                pass
+    return sizes
+
+
+def test_materialize_leaves_nothing_shuffled(spark):
+    from loamworks.session import materialize
+
+    before = block_files(spark)
+    df = materialize(spark.range(100_000).repartition(3))
+    assert not [p for p in block_files(spark).keys() - before.keys() if p.name.startswith("shuffle_")] and df.count() == 100_000
+
+
+def test_shingle_dedup_on_little_disk(spark):
+    path = "/root/testdata/sf0.1/documents.parquet"
+    before, most, over = block_files(spark), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.1):
+            most[0] = max(most[0], sum(n for p, n in block_files(spark).items() if p not in before))
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        rows = semantic.shingle_dedup(spark.read.parquet(path).limit(4000)).count()
+    finally:
+        over.set()
+        thread.join()
+    assert rows == 4000 and most[0] < 2 * pathlib.Path(path).stat().st_size
+
+
 # decontamination
 
 ITEM = "one two three four five six seven eight nine ten"
