@@ -386,6 +386,37 @@ def test_hot_segments_are_split(spark):
     assert len(m) == 200 and all(m[i]["links"] == sum(i in p for p in want) for i in range(200)) and m[0]["expanded"]
 
 
+def test_signatures_take_few_bytes_in_many_buckets(spark):
+    from loamworks.operators import similar_sets
+
+    rng = random.Random(3)
+    sets, bounds = shingles.shingle_sets([sentence(rng, 200, 4000) for _ in range(1000)], 3)
+    sig, owner, flags = setjoin.signatures(sets, bounds, setjoin.Bands(0.7), (np.empty(0, np.uint64), np.empty(0, np.float32)))
+    short = similar_sets.short_names(similar_sets.fingerprints(sets, bounds), np.diff(bounds))
+    total = 0
+    for k in range(650):
+        here = (sig >> np.uint64(40)) % np.uint64(650) == k
+        # as many bits as the signatures of some 6 GB of documents ask for
+        key = sig[here] & np.uint64(2 ** similar_sets._key_bits(3_000_000_000, 650) - 1)
+        blob = similar_sets._pack(key, owner[here], flags[here], short)
+        total += len(blob)
+        got = zip(*(x.tolist() for x in similar_sets._unpack(blob)), strict=True)
+        assert sorted(got) == sorted(zip(key.tolist(), short[owner[here]].tolist(), flags[here].tolist(), strict=True))
+    assert total < 11 * len(sig)
+
+
+def test_sets_of_one_short_name_are_compared(spark, monkeypatch):
+    from loamworks.operators import similar_sets
+
+    rng = random.Random(4)
+    base = sentence(rng, 60, 4000).split()
+    texts = [" ".join([*base[:k], f"n{k}", *base[k + 1 :]]) for k in range(10, 50, 5)]
+    monkeypatch.setattr(similar_sets, "_short_name", lambda: F.col("n"))
+    monkeypatch.setattr(similar_sets, "_candidates", lambda *x: spark.createDataFrame([], "a long, b long"))
+    found = near.near_duplicates(docs(spark, *texts), near.NearDuplicateConfig(3, 0.7))
+    assert {tuple(r) for r in near.pairs(found).collect()} == brute_pairs(texts, 3, 0.7) != set()
+
+
 def test_setjoin_finds_all_pairs_at_every_size():
     rng = np.random.default_rng(5)
     sets = []
