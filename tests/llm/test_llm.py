@@ -637,6 +637,19 @@ def test_reading_model_from_tables(spark):
     assert len(empty.difficulty(["a b", None])[0]) == 2
 
 
+def test_reading_model_counts_every_rated_document(spark):
+    rng = random.Random(9)
+    texts = [level_text(rng, k % 3) + f" rare{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100 % 10]}{'abcdefghij'[k // 1000]} word" for k in range(4500)]
+    texts[7] += " longest" + " of all" * 70_000
+    ratings = spark.createDataFrame([(k, "reading_level", reading.BANDS[k % 3]) for k in range(4500)], "doc_id bigint, aspect string, rating string")
+    model = reading.fit_reading_model(docs(spark, *texts), ratings)
+    known = reading._language_models(texts, np.arange(4500) % 3, model.config)
+    ids, counts = reading.word_sequence(texts)
+    for got, want in zip(model.parts(ids, counts), known.parts(ids, counts), strict=True):
+        assert np.allclose(got, want, rtol=1e-5)
+    assert (model.tables[0](reading._grams(ids, counts)[0]).max(axis=1) > 0).all()
+
+
 # batches
 
 
